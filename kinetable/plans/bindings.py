@@ -54,6 +54,8 @@ EV = """ev AS (SELECT user_id AS session_id, event_id AS frame_idx, epoch_us(ts)
   FROM events)"""
 
 LINE = Timeline(("session_id",), ("t", "frame_idx"), CFG.span(CFG.slice_s))
+# Recursions: two slices per session, so that states are handed over once.
+FOLD_LINE = Timeline(("session_id",), ("t", "frame_idx"), CFG.span(16.0))
 
 MULTI_US = DAY_US // 2
 
@@ -71,6 +73,7 @@ FACES = f"""faces AS (SELECT session_id, t // {MULTI_US} AS frame_idx, (t // {MU
   frame_idx AS det_idx, x, event_type, role, level, face_id FROM ev)"""
 
 FACE_LINE = Timeline(("session_id",), ("t", "det_idx"), CFG.span(CFG.slice_s))
+FACE_FOLD_LINE = Timeline(("session_id",), ("t", "det_idx"), CFG.span(16.0))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
