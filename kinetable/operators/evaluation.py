@@ -40,11 +40,16 @@ def split(df: DataFrame, key: Sequence[str], ratio: float = 0.15, seed: int = 42
     border = counts.withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0))).crossJoin(total)
     border = border.filter((F.col("_before") <= F.col("_want")) & (F.col("_want") < F.col("_before") + F.col("_c")))
     border = border.select(F.col("_b").alias("_edge"), (F.col("_want") - F.col("_before")).alias("_take"))
-    placed = ranked.crossJoin(F.broadcast(border))  # one row
-    clear = placed.filter(F.col("_b") != F.col("_edge")).withColumn("is_train", F.col("_b") > F.col("_edge"))
+    # The last validation row of the border bucket: the only rows that are ordered.
+    place = F.struct("_h", *key)
     order = Window.orderBy("_h", *key)
-    edge = placed.filter(F.col("_b") == F.col("_edge")).withColumn("is_train", F.row_number().over(order) > F.col("_take"))
-    return clear.unionByName(edge).select(*df.columns, "is_train")
+    edge = ranked.select("_h", "_b", *key).join(F.broadcast(border), F.col("_b") == F.col("_edge"))
+    last = edge.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") == F.col("_take"))
+    last = last.agg(F.max(place).alias("_last"))
+    placed = ranked.crossJoin(border).crossJoin(last)  # one row each
+    at_edge = F.coalesce(place > F.col("_last"), F.lit(True))
+    is_train = F.when(F.col("_b") == F.col("_edge"), at_edge).otherwise(F.col("_b") > F.col("_edge"))
+    return placed.select(*df.columns, is_train.alias("is_train"))
 
 
 def eval_segment(df: DataFrame, line: Timeline, is_val: Column, frames: int = 400, spare: int = 64) -> DataFrame:

@@ -59,7 +59,7 @@ def slice_audio(frames: DataFrame, clips: DataFrame, rate: int = 16000, fps: flo
     high = F.least(F.col("_from") + length, F.col("offset") + F.size("samples"), (F.col("_block") + 1) * block)
     met = wanted.join(pieces, [key, "_block"], "left").withColumn("_low", low).withColumn("_n", (high - low).cast("int"))
     piece = F.when(
-        F.col("_n") > 0,
+        F.col("offset").isNotNull() & (F.col("_n") > 0),
         F.struct(
             F.col("_low").alias("at"),
             F.slice("samples", (F.col("_low") - F.col("offset") + 1).cast("int"), F.col("_n")).alias("s"),

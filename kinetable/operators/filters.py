@@ -59,6 +59,18 @@ def min_frames_gate(df: DataFrame, n: int = 10, key=("session_id",)) -> DataFram
     return df.join(large.select(*key), list(key), "left_semi")
 
 
+def training_frames(df: DataFrame, n: int = 10, key=("session_id",), role: str = "role") -> DataFrame:
+    """:func:`min_frames_gate`, :func:`accept_frames` and the gate again, with one aggregate.
+
+    All three only need two counts per session, so rows are joined once.
+    """
+    match = accepted_role(F.col(role)) if role in df.columns else F.lit(True)
+    per = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.count_if(match).alias("_hits"))
+    kept = F.when(F.col("_hits") == 0, F.col("_n")).otherwise(F.col("_hits"))
+    per = per.filter((F.col("_n") >= n) & (kept >= n))
+    return df.join(per, list(key)).filter(match | (F.col("_hits") == 0)).select(*df.columns)
+
+
 def any_word(text: Column, words: Sequence[str]) -> Column:
     return F.lower(text).rlike("|".join(re.escape(w) for w in words))
 

@@ -85,7 +85,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     )
     fraction = F.col("_rank") - F.col("_r0")
     value_at = F.when(fraction == 0, F.col("_x0")).otherwise(
-        (1 - fraction) * F.col("_x0") + fraction * F.col("_x1")
+        F.col("_x0") + (F.col("_x1") - F.col("_x0")) * fraction
     )
     out = picked.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_q") == i, value_at)).alias(f"q{i}") for i in range(len(probs))]

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinetable.operators.quantiles import exact_quantiles
 
@@ -75,16 +77,50 @@ def top_components(df: DataFrame, column: str, n: int = 8) -> DataFrame:
     return stats.orderBy(F.desc("variance"), F.desc("pos")).limit(n)
 
 
-def median_vector(df: DataFrame, key: Sequence[str], column: str, name: str = "median") -> DataFrame:
-    """Exact element-wise median of each key's vectors (rows of equal length)."""
-    values = exact_quantiles(components(df, column, key), [*key, "pos"], "x", [0.5])
+BLOCK = 192
+GROUP_ROWS = 100_000
+
+
+def median_vector(df: DataFrame, key: Sequence[str], column: str, name: str = "median", limit: int = GROUP_ROWS) -> DataFrame:
+    """Exact element-wise median of each key's vectors (rows of equal length).
+
+    Keys with at most ``limit`` rows are reduced in blocks of components, whose
+    size is bounded by ``limit * BLOCK`` values; larger keys go through
+    :func:`exact_quantiles`, which never gathers a key.
+    """
+    key = list(key)
+    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    small = counts.filter(F.col("_n") <= limit).select(*key)
+    large = counts.filter(F.col("_n") > limit).select(*key)
+    starts = F.sequence(F.lit(0), F.size(column) - 1, F.lit(BLOCK))
+    blocks = (
+        df.select(*key, column)
+        .join(small, key, "left_semi")
+        .select(*key, column, F.explode(starts).alias("_at"))
+        .select(*key, "_at", F.slice(column, F.col("_at") + 1, F.lit(BLOCK)).alias("_v"))
+    )
+    fields = {f.name: f.dataType for f in blocks.schema}
+    schema = T.StructType([T.StructField(c, fields[c]) for c in (*key, "_at")] + [T.StructField("_m", T.ArrayType(T.DoubleType()))])
+
+    def middle(rows: pd.DataFrame) -> pd.DataFrame:
+        values = np.stack(rows["_v"].to_numpy()).astype(float)
+        head = {c: [rows[c].iloc[0]] for c in (*key, "_at")}
+        return pd.DataFrame({**head, "_m": [np.median(values, axis=0)]})
+
+    near = blocks.groupBy(*key, "_at").applyInPandas(middle, schema)
+    near = near.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_at", "_m"))).alias("_b"))
+    near = near.select(*key, F.flatten(F.transform("_b", lambda b: b["_m"])).alias(name))
+    values = exact_quantiles(
+        components(df.join(large, key, "left_semi"), column, key), [*key, "pos"], "x", [0.5]
+    )
     ordered = F.array_sort(F.collect_list(F.struct("pos", "q0")))
-    return values.groupBy(*key).agg(F.transform(ordered, lambda r: r["q0"]).alias(name))
+    far = values.groupBy(*key).agg(F.transform(ordered, lambda r: r["q0"]).alias(name))
+    return near.unionByName(far)
 
 
-def pose_delta(df: DataFrame, key: Sequence[str], column: str = "pose", name: str = "pose_delta") -> DataFrame:
-    """Each row's pose minus the median pose of its session."""
-    median = median_vector(df, key, column, "_median")
+def pose_delta(df: DataFrame, key: Sequence[str], column: str = "pose", name: str = "pose_delta", from_rows: DataFrame | None = None) -> DataFrame:
+    """Each row's pose minus the median pose of its session (of ``from_rows`` if given)."""
+    median = median_vector(df if from_rows is None else from_rows, key, column, "_median")
     return df.join(median, list(key)).withColumn(
         name, F.zip_with(F.col(column), "_median", lambda a, b: a.cast("double") - b)
     ).drop("_median")

@@ -53,11 +53,12 @@ def _(spark, sf):
     return vectors.mean_variance(vec(spark, sf), ["session_id"], "v", [1, 2]).withColumn("variance", F.round("variance", 9))
 
 
-@query("exact_quantiles", f"""WITH {EV} SELECT event_type, quantile_cont(x, 0.05) AS q0, quantile_cont(x, 0.5) AS q1, quantile_cont(x, 0.95) AS q2 FROM ev GROUP BY event_type""")
+@query("exact_quantiles", f"""WITH {EV} SELECT event_type, round(quantile_cont(x, 0.05), 9) AS q0, round(quantile_cont(x, 0.5), 9) AS q1, round(quantile_cont(x, 0.95), 9) AS q2 FROM ev GROUP BY event_type""")
 def _(spark, sf):
     from kinetable.operators.quantiles import exact_quantiles
 
-    return exact_quantiles(ev_frames(spark, sf), ["event_type"], "x", [0.05, 0.5, 0.95])
+    out = exact_quantiles(ev_frames(spark, sf), ["event_type"], "x", [0.05, 0.5, 0.95])
+    return out.select("event_type", *[F.round(q, 9).alias(q) for q in ("q0", "q1", "q2")])
 
 
 @query("speech_drive", f"""WITH {EV}, p AS (SELECT quantile_cont(level * 1.0::DOUBLE, 0.05) AS p5, quantile_cont(level * 1.0::DOUBLE, 0.95) AS p95, quantile_cont(x, 0.9) AS p90 FROM ev)
