@@ -15,10 +15,13 @@ FFT = 512
 BANDS = 64
 
 
-def fallback_spectrum(df: DataFrame, key=("session_id",)) -> DataFrame:
-    """Replace the spectra of sessions that have energy but no spectra at all."""
+def fallback_spectrum(df: DataFrame, key=("session_id",), from_rows: DataFrame | None = None) -> DataFrame:
+    """Replace the spectra of sessions that have energy but no spectra at all.
+
+    ``from_rows`` is a cheaper table of the same rows to judge the sessions by.
+    """
     largest = F.array_max("spectral")
-    per = df.groupBy(*key).agg(F.max(largest).alias("_band"), F.max("energy").alias("_energy"))
+    per = (df if from_rows is None else from_rows).groupBy(*key).agg(F.max(largest).alias("_band"), F.max("energy").alias("_energy"))
     empty = (F.col("_band") < 1e-5) & (F.col("_energy") > 1e-4)
     made = audio.spread_spectrum(F.col("energy"), F.col("prob"))
     return df.join(per, list(key)).withColumn(

@@ -6,8 +6,7 @@ session into slices of bounded extent along its order column, works inside the
 slices in parallel, and passes what a slice needs from earlier (or later) ones
 through a small table with one row per slice:
 
-* ``running``   cumulative sum / max / min, exact for any associative merge
-* ``previous``  the row before, across slice borders
+* ``scan``      cumulative sum / max / min and the row before, across slice borders
 * ``with_halo`` copies border rows into the neighbouring slices so that bounded
   frames (last 30 rows, last 0.4 s, next L rows) are complete in each slice
 * ``spread``    joins a per-key value to rows on (key, slice), so that a hot key
@@ -87,46 +86,59 @@ def carried(table: DataFrame, key: tuple[str, ...], kinds: Mapping[str, str], ba
     )
 
 
-def running(
+def scan(
     df: DataFrame,
     line: Timeline,
-    specs: Mapping[str, tuple[str, Column]],
+    run: Mapping[str, tuple[str, Column]] | None = None,
+    prev: Mapping[str, Column] | None = None,
     inclusive: bool = True,
     backward: bool = False,
 ) -> DataFrame:
-    """Add cumulative values: ``{name: ("sum" | "max" | "min", expression)}``.
+    """Add cumulative values and values of the preceding row in one pass.
 
-    ``max``/``min`` work on structs too, so "last non-null value" is the max of
-    ``struct(order..., value)``.
+    ``run``: ``{name: ("sum" | "max" | "min", expression)}``; ``max``/``min`` work on
+    structs too, so "last non-null value" is the max of ``struct(order..., value)``.
+    ``prev``: ``{name: expression}``, null on the first row of a key.
+
+    The input is read twice: once for the slice table (partial aggregates, a tiny
+    shuffle) and once for the rows, which are shuffled by (key, slice) only.
     """
+    run, prev = run or {}, prev or {}
     data = line.sliced(df)
-    for name, (_, expr) in specs.items():
+    for name, (_, expr) in run.items():
         data = data.withColumn("_in_" + name, expr)
-    kinds = {name: kind for name, (kind, _) in specs.items()}
-    table = data.groupBy(*line.group).agg(*[MERGES[k]("_in_" + n).alias(n) for n, k in kinds.items()])
-    carry = carried(table, line.key, kinds, backward).select(
-        *line.group, *[F.col(n).alias("_carry_" + n) for n in kinds]
-    )
+    kinds = {name: kind for name, (kind, _) in run.items()}
+    parts = [MERGES[k]("_in_" + n).alias(n) for n, k in kinds.items()]
+    if prev:
+        data = data.withColumn("_row", F.struct(*[expr.alias(n) for n, expr in prev.items()]))
+        parts.append(F.max(F.struct(*line.order, F.col("_row").alias("_row"))).alias("_tail"))
+    table = data.groupBy(*line.group).agg(*parts)
+    # The newest row of all earlier slices is the preceding row: one more maximum.
+    merged = {**kinds, **({"_tail": "max"} if prev else {})}
+    carry = carried(table, line.key, merged, backward).select(*line.group, *[F.col(n).alias("_carry_" + n) for n in merged])
     if backward:
         local = line.rows().rowsBetween(0 if inclusive else 1, Window.unboundedFollowing)
     else:
         local = line.rows().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    joined = data.join(carry, line.group)
+    out = data.join(carry, line.group)
     for name, kind in kinds.items():
-        joined = joined.withColumn(
+        out = out.withColumn(
             name, _merge_pair(kind, F.col("_carry_" + name), MERGES[kind](F.col("_in_" + name)).over(local))
         )
-    return joined.drop(SLICE, *["_in_" + n for n in kinds], *["_carry_" + n for n in kinds])
+    if prev:
+        before = F.coalesce(F.lag("_row").over(line.rows()), F.col("_carry__tail._row"))
+        out = out.withColumn("_before", before)
+    return out.select(*df.columns, *kinds, *[F.col("_before")[n].alias(n) for n in prev])
+
+
+def running(df: DataFrame, line: Timeline, specs: Mapping[str, tuple[str, Column]], inclusive: bool = True, backward: bool = False) -> DataFrame:
+    """Cumulative values only, see :func:`scan`."""
+    return scan(df, line, run=specs, inclusive=inclusive, backward=backward)
 
 
 def previous(df: DataFrame, line: Timeline, values: Mapping[str, Column]) -> DataFrame:
-    """Add each value of the preceding row of the key (null on the first row)."""
-    data = line.sliced(df).withColumn("_row", F.struct(*[expr.alias(n) for n, expr in values.items()]))
-    tails = data.groupBy(*line.group).agg(F.max_by("_row", line.position()).alias("_tail"))
-    over_slices = Window.partitionBy(*line.key).orderBy(SLICE)
-    tails = tails.select(*line.group, F.lag("_tail").over(over_slices).alias("_tail"))
-    out = data.join(tails, line.group).withColumn("_prev", F.coalesce(F.lag("_row").over(line.rows()), F.col("_tail")))
-    return out.select(*df.columns, *[F.col("_prev")[n].alias(n) for n in values])
+    """Values of the preceding row only, see :func:`scan`."""
+    return scan(df, line, prev=values)
 
 
 def row_index(df: DataFrame, line: Timeline, name: str = "idx") -> DataFrame:
@@ -147,11 +159,13 @@ def with_halo(df: DataFrame, position: Column, width: float, before: float = 0,
     )
 
 
-def spread(df: DataFrame, line: Timeline, per_key: DataFrame, how: str = "inner") -> DataFrame:
-    """Join one row per key to the rows of ``df`` over (key, slice)."""
-    data = line.sliced(df)
-    slices = data.select(*line.group).distinct()
-    return data.join(slices.join(per_key, list(line.key), how), line.group).drop(SLICE)
+def spread(df: DataFrame, line: Timeline, per_key: DataFrame, how: str = "inner", base: DataFrame | None = None) -> DataFrame:
+    """Join one row per key to the rows of ``df`` over (key, slice).
+
+    ``base`` is a cheaper table with the same keys and positions, if there is one.
+    """
+    slices = line.sliced(df if base is None else base).select(*line.group).distinct()
+    return line.sliced(df).join(slices.join(per_key, list(line.key), how), line.group).drop(SLICE)
 
 
 def dense_window(df: DataFrame, line: Timeline, width: int, before: int = 0, after: int = 0, index: str = "_idx"):

@@ -6,38 +6,20 @@ one sliced cumulative pass - no per-session state is held.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetable.config import Config
-from kinetable.operators.ordered import Timeline, running
-from kinetable.operators.windows import timeline
+from kinetable.operators.ordered import Timeline, running, scan
+from kinetable.operators.windows import gap_columns, timeline
 
 
-def speaker_gate(df: DataFrame, cfg: Config, line: Timeline | None = None, compat: bool = False) -> DataFrame:
-    """Label every face row.
-
-    Reads ``n_faces``, ``articulating``, ``motion_score``, ``is_valid``, ``hits``,
-    ``rejected`` and optionally ``speech_active``; adds ``since_speech``,
-    ``conversational_state``, ``role``, ``speaker_probability``, ``level``,
-    ``gate_active`` and ``is_narration``.
-
-    A frame with several faces closes the gate when the single-face rule is on; the
-    time of the last speech survives it.  Otherwise each articulating face of the
-    frame is a speaker (faces of one frame must be adjacent in ``line.order``).
-    ``conversational_state`` is null where the gate did not judge the row, unless
-    ``compat`` repeats the last judged value.
-    """
-    line = line or timeline(cfg)
-    t = line.order[0]
-    strict = F.lit(cfg.strict_single_face)
-    several = F.col("n_faces") > 1
-    counts = F.col("articulating") & ~(strict & several)
-    out = running(df, line, {"_last": ("max", F.when(counts, F.col(t)))})
-    tau = F.when(F.col("_last").isNotNull(), F.greatest(F.col(t) - F.col("_last"), F.lit(0)))
+def gate_labels(cfg: Config, has_audio: bool) -> list[Column]:
+    """The label columns of a row, given ``_tau``: time since speech, null if never."""
+    tau, several = F.col("_tau"), F.col("n_faces") > 1
     hold, word, limit = (F.lit(cfg.span(s)) for s in (cfg.syllable_hold_s, cfg.word_hold_s, cfg.pause_limit_s))
     single = F.col("n_faces") == 1
-    blocked = strict & several
+    blocked = F.lit(cfg.strict_single_face) & several
     speaking = F.col("articulating") | (single & F.coalesce(tau <= hold, F.lit(False)))
     between = single & F.coalesce(tau <= word, F.lit(False))
     pausing = single & F.coalesce(tau <= limit, F.lit(False))
@@ -53,7 +35,7 @@ def speaker_gate(df: DataFrame, cfg: Config, line: Timeline | None = None, compa
 
     valid, motion = F.col("is_valid"), F.col("motion_score")
     level_several = F.when(F.col("hits") < 5, 0).when(F.col("rejected"), 1).otherwise(2)
-    heard = F.col("speech_active") if "speech_active" in df.columns else F.lit(False)
+    heard = F.col("speech_active") if has_audio else F.lit(False)
     judged = choose(
         F.lit(None),
         F.lit("ACTIVE_SPEECH"),
@@ -61,8 +43,7 @@ def speaker_gate(df: DataFrame, cfg: Config, line: Timeline | None = None, compa
         F.lit("CONVERSATIONAL_PAUSE"),
         F.when(single, F.lit("SILENCE")),
     )
-    out = out.select(
-        *df.columns,
+    return [
         tau.alias("since_speech"),
         judged.alias("conversational_state"),
         choose(
@@ -91,6 +72,35 @@ def speaker_gate(df: DataFrame, cfg: Config, line: Timeline | None = None, compa
         ).alias("level"),
         choose(F.lit(False), F.lit(True), F.lit(True), F.lit(True), F.lit(False)).alias("gate_active"),
         (~(blocked | speaking | between | pausing) & single & heard).alias("is_narration"),
+    ]
+
+
+def speaker_gate(df: DataFrame, cfg: Config, line: Timeline | None = None, compat: bool = False, gaps: bool = False) -> DataFrame:
+    """Label every face row.
+
+    Reads ``n_faces``, ``articulating``, ``motion_score``, ``is_valid``, ``hits``,
+    ``rejected`` and optionally ``speech_active``; adds ``since_speech``,
+    ``conversational_state``, ``role``, ``speaker_probability``, ``level``,
+    ``gate_active`` and ``is_narration``.
+
+    A frame with several faces closes the gate when the single-face rule is on; the
+    time of the last speech survives it.  Otherwise each articulating face of the
+    frame is a speaker (faces of one frame must be adjacent in ``line.order``).
+    ``conversational_state`` is null where the gate did not judge the row, unless
+    ``compat`` repeats the last judged value.  ``gaps`` also adds ``dt`` and ``is_gap``
+    (see :func:`windows.frame_gaps`) in the same pass.
+    """
+    line = line or timeline(cfg)
+    t = line.order[0]
+    strict = F.lit(cfg.strict_single_face)
+    several = F.col("n_faces") > 1
+    counts = F.col("articulating") & ~(strict & several)
+    out = scan(df, line, run={"_last": ("max", F.when(counts, F.col(t)))}, prev={"_t0": F.col(t)} if gaps else None)
+    tau = F.when(F.col("_last").isNotNull(), F.greatest(F.col(t) - F.col("_last"), F.lit(0)))
+    out = out.withColumn("_tau", tau).select(
+        *df.columns,
+        *(gap_columns(F.col(t), F.col("_t0"), cfg) if gaps else []),
+        *gate_labels(cfg, "speech_active" in df.columns),
     )
     if compat:
         seen = F.when(

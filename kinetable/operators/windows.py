@@ -30,13 +30,16 @@ def frame_gaps(df: DataFrame, cfg: Config, line: Timeline | None = None) -> Data
     line = line or timeline(cfg)
     t = line.order[0]
     out = previous(df, line, {"_t0": F.col(t)})
-    delta = F.col(t) - F.col("_t0")
-    floor = cfg.span(1e-4)
-    return out.select(
-        *df.columns,
-        F.when(F.col("_t0").isNotNull(), F.greatest(delta, F.lit(floor))).alias("dt"),
+    return out.select(*df.columns, *gap_columns(F.col(t), F.col("_t0"), cfg))
+
+
+def gap_columns(t: Column, before: Column, cfg: Config) -> list[Column]:
+    """``dt`` and ``is_gap`` from the time of a row and of the row before it."""
+    delta = t - before
+    return [
+        F.when(before.isNotNull(), F.greatest(delta, F.lit(cfg.span(1e-4)))).alias("dt"),
         F.coalesce(delta > F.lit(cfg.span(cfg.gap_s)), F.lit(False)).alias("is_gap"),
-    )
+    ]
 
 
 def point_distance(a: Column, b: Column, point: int) -> Column:
@@ -168,7 +171,7 @@ def sequence_windows(
     indexed = row_index(df, line, "_i")
     sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     if key:
-        indexed = spread(indexed, line, sizes)
+        indexed = spread(indexed, line, sizes, base=df)
     else:
         indexed = indexed.crossJoin(sizes)  # one row
     count = F.greatest(F.lit(1), F.floor((F.col("_n") - length) / stride)).cast("long")
@@ -226,7 +229,7 @@ def tail_split(df: DataFrame, line: Timeline, train_share: float = 0.85) -> Data
     """First share of rows by position is training, the rest validation."""
     indexed = row_index(df, line, "_i")
     sizes = df.groupBy(*line.key).agg(F.count(F.lit(1)).alias("_n"))
-    out = spread(indexed, line, sizes) if line.key else indexed.crossJoin(sizes)
+    out = spread(indexed, line, sizes, base=df) if line.key else indexed.crossJoin(sizes)
     return out.select(*df.columns, (F.col("_i") < F.floor(F.col("_n") * train_share)).alias("is_train"))
 
 
@@ -263,13 +266,13 @@ def watch_sessions(df: DataFrame, cfg: Config, trigger: Column, keep: Column, li
     line = line or timeline(cfg)
     t = line.order[0]
     key = list(line.key)
-    data = df.select(*line.key, *line.order, trigger.alias("_on"), keep.alias("_keep"))
-    data = previous(data, line, {"_was": F.col("_on")})
+    base = df.select(*line.key, *line.order, trigger.alias("_on"), keep.alias("_keep"))
+    data = previous(base, line, {"_was": F.col("_on")})
     starts = F.col("_on") & ~F.coalesce(F.col("_was"), F.lit(False))
     data = running(data, line, {"_run": ("max", F.when(starts, F.col(t)))})
     armed = F.col("_on") & (F.col(t) - F.col("_run") >= F.lit(cfg.span(cfg.watch_trigger_s)))
     first = data.filter(armed).groupBy(*key).agg(F.min(line.position()).alias("_start"))
-    after = spread(data, line, first).filter(line.position() > F.col("_start"))
+    after = spread(base, line, first).filter(line.position() > F.col("_start"))
     after = running(after, line, {"_seen": ("max", F.when(F.col("_keep"), F.col(t)))})
     last_seen = F.greatest(F.col("_seen"), F.col("_start")[t])
     lost = ~F.col("_keep") & (F.col(t) - last_seen >= F.lit(cfg.span(cfg.watch_loss_s)))

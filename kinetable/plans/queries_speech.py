@@ -165,7 +165,7 @@ def _(spark, sf):
   CAST(sum(greatest(d, {US['floor']})) AS BIGINT) AS seconds FROM gate WHERE state <> 'SILENCE' AND d IS NOT NULL GROUP BY ALL""")
 def _(spark, sf):
     frames = _gate_input(ev_frames(spark, sf)).drop("role", "level")
-    return speech.state_seconds(speech.speaker_gate(windows.frame_gaps(frames, CFG, LINE), CFG, LINE))
+    return speech.state_seconds(speech.speaker_gate(frames, CFG, LINE, gaps=True))
 
 
 @query("state_seconds_no_between", f"""WITH {GATE} SELECT session_id, state AS conversational_state,
@@ -173,7 +173,7 @@ def _(spark, sf):
   AND d IS NOT NULL GROUP BY ALL""")
 def _(spark, sf):
     frames = _gate_input(ev_frames(spark, sf)).drop("role", "level")
-    gated = speech.speaker_gate(windows.frame_gaps(frames, CFG, LINE), CFG, LINE)
+    gated = speech.speaker_gate(frames, CFG, LINE, gaps=True)
     return speech.state_seconds(gated, count_between=False)
 
 

@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from kinetable.config import Config
 from kinetable.operators.ordered import Timeline
 from kinetable.operators.speech import speaker_gate
-from kinetable.operators.windows import frame_gaps
 
 STATES = ("ACTIVE_SPEECH", "BETWEEN_WORDS", "CONVERSATIONAL_PAUSE", "SILENCE")
 
 
 def speech_report(frames: DataFrame, cfg: Config, line: Timeline) -> DataFrame:
     """One row per session: frames, gaps, time per state, and its share of a 30-minute target."""
-    gated = speaker_gate(frame_gaps(frames, cfg, line), cfg, line)
+    gated = speaker_gate(frames, cfg, line, gaps=True)
     state = F.col("conversational_state")
     totals = gated.groupBy(*line.key).agg(
         F.count(F.lit(1)).alias("frames"),

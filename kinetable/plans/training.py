@@ -51,7 +51,8 @@ def build_training(
         rows = staged(rows)
     get = vision.channels("channels", names)
     # What needs whole sessions or the whole table reads narrow columns of these rows.
-    out = evaluation.split(features.fallback_spectrum(rows), ["session_id", "frame_idx"], seed=seed, by=by)
+    out = evaluation.split(rows, ["session_id", "frame_idx"], seed=seed, by=by)
+    out = features.fallback_spectrum(out, from_rows=rows)
     out = vectors.pose_delta(out, key, from_rows=rows).drop("pose")
     if not lean:
         model = model or alignment.FaceModel()
