@@ -82,8 +82,12 @@ def keyed_fold(df: DataFrame, line: Timeline, recursion: Recursion, with_slices:
         return rows.assign(**outputs)[names]
 
     def run_states(rows: DataFrame, states: DataFrame) -> DataFrame:
-        left, right = rows.groupBy(*group), states.select(*group, "entry").groupBy(*group)
-        return left.cogroup(right).applyInPandas(exits_of, exit_schema)
+        return rows.groupBy(*group).cogroup(by_slice(states)).applyInPandas(exits_of, exit_schema)
+
+    def by_slice(states: DataFrame):
+        # Aliases make the columns distinct from those of the rows they came from.
+        named = states.select(*[F.col(c).alias("_" + c) for c in group], "entry")
+        return named.select(*[F.col("_" + c).alias(c) for c in group], "entry").groupBy(*group)
 
     empty_state = F.array(*[F.lit(float(s)) for s in start]).cast(STATE)
     over = Window.partitionBy(*line.key).orderBy(SLICE)
@@ -113,7 +117,7 @@ def keyed_fold(df: DataFrame, line: Timeline, recursion: Recursion, with_slices:
         .filter(~F.col("_first"))
         .select(*group, "entry")
     )
-    out = data.groupBy(*group).cogroup(entries.groupBy(*group)).applyInPandas(rows_of, row_schema)
+    out = data.groupBy(*group).cogroup(by_slice(entries)).applyInPandas(rows_of, row_schema)
     return (out, exits) if with_slices else out
 
 
