@@ -108,11 +108,11 @@ def rejection_reason(
     small = (w < cfg.min_width_px) | (h < cfg.min_height_px) | (area < cfg.min_area_ratio)
     turned = (F.abs(yaw) > cfg.max_yaw_deg) | (F.abs(pitch) > cfg.max_pitch_deg)
     return (
-        F.when(small, F.format_string("face_too_small (%dx%dpx, area %.3f)", w, h, area))
-        .when(blur < cfg.min_blur, F.format_string(f"motion_blur (laplacian %.1f < {cfg.min_blur})", blur))
-        .when(turned, F.format_string("extreme_pose (yaw=%.1f, pitch=%.1f)", yaw, pitch))
-        .when(jitter > cfg.max_jitter, F.format_string("tracking_jitter (velocity %.2f)", jitter))
-        .when(confidence < cfg.min_confidence, F.format_string("low_confidence (%.2f)", confidence))
+        F.when(small, F.format_string("face_too_small (%dx%dpx, area %.3f)", w, h, F.bround(area, 3)))
+        .when(blur < cfg.min_blur, F.format_string(f"motion_blur (laplacian %.1f < {cfg.min_blur})", F.bround(blur, 1)))
+        .when(turned, F.format_string("extreme_pose (yaw=%.1f, pitch=%.1f)", F.bround(yaw, 1), F.bround(pitch, 1)))
+        .when(jitter > cfg.max_jitter, F.format_string("tracking_jitter (velocity %.2f)", F.bround(jitter, 2)))
+        .when(confidence < cfg.min_confidence, F.format_string("low_confidence (%.2f)", F.bround(confidence, 2)))
     )
 
 

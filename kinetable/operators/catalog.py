@@ -81,12 +81,12 @@ def milestones(report: DataFrame) -> DataFrame:
     ready = {n: seconds >= s for n, s in TARGETS.items()}
     # Label texts.
     label = (
-        F.when(ready["scale"], F.format_string("READY: 1,000h SCALE DATASET COMPLETE (%.1fh)", hours))
-        .when(ready["phase1"], F.format_string("PHASE 1 COMPLETE (%.1fh / 100h) - ADVANCING TO 1,000h TARGET", hours))
+        F.when(ready["scale"], F.format_string("READY: 1,000h SCALE DATASET COMPLETE (%.1fh)", F.bround(hours, 1)))
+        .when(ready["phase1"], F.format_string("PHASE 1 COMPLETE (%.1fh / 100h) - ADVANCING TO 1,000h TARGET", F.bround(hours, 1)))
         .otherwise(
             F.format_string(
                 "PHASE 1 (100h TARGET): %.2fh / 100.0h (%.1f%%) | %.1fh TO GO",
-                hours, percent["phase1"], F.greatest(F.lit(0.0), 100.0 - hours),
+                F.bround(hours, 2), F.bround(percent["phase1"], 1), F.bround(F.greatest(F.lit(0.0), 100.0 - hours), 1),
             )
         )
     )
@@ -206,7 +206,7 @@ def registry_rows(registry: DataFrame) -> DataFrame:
             F.format_string("`%d` sess (`%s..`)", "session_count", F.substring(F.col("last_session").cast("string"), 1, 18)),
         ).otherwise(F.format_string("`%d` sess", "session_count")).alias("sessions"),
         F.format_number("total_frames", 0).alias("frames"),
-        F.format_string("%.1fm (%.0fs)", seconds / 60.0, seconds).alias("duration"),
+        F.format_string("%.1fm (%.0fs)", F.bround(seconds / 60.0, 1), F.bround(seconds, 0)).alias("duration"),
     )
 
 

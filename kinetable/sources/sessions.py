@@ -7,7 +7,6 @@ emits bounded batches.  Inputs are never changed or deleted.
 from __future__ import annotations
 
 import io
-
 import tarfile
 from collections.abc import Iterator, Sequence
 
@@ -68,17 +67,22 @@ def _decode(session: str, data: bytes, schema: T.StructType) -> Iterator[pd.Data
             }
             names = [str(x) for x in stored["blendshape_names"]] if "blendshape_names" in stored.files else None
     except Exception as error:
-        yield pd.DataFrame({"session_id": [session], "corrupt": [f"{type(error).__name__}: {error}"]}).reindex(columns=schema.names)
+        yield _shaped({"session_id": [session], "corrupt": [f"{type(error).__name__}: {error}"]}, schema, 1)
         return
     for at in range(0, n, BATCH):
         size = min(BATCH, n - at)
-        frame = pd.DataFrame({"session_id": [session] * size, "frame_idx": np.arange(at, at + size)})
+        frame = {"session_id": [session] * size, "frame_idx": np.arange(at, at + size)}
         for c, values in arrays.items():
             part = values[at : at + size]
             frame[c] = list(part.reshape(size, -1)) if part.ndim > 1 else part
         if NAMES in wanted:
             frame[NAMES] = [names] * size
-        yield frame.reindex(columns=schema.names)
+        yield _shaped(frame, schema, size)
+
+
+def _shaped(values: dict, schema: T.StructType, size: int) -> pd.DataFrame:
+    """All columns of the schema, absent ones null."""
+    return pd.DataFrame({c: values[c] if c in values else [None] * size for c in schema.names})
 
 
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -129,8 +133,7 @@ def read_chunks(spark: SparkSession, path: str, columns: Sequence[str] | None =
                     for session, member in _members(data, FRAME_FILE):
                         yield from _decode(session, member, schema)
                 except Exception as error:
-                    row = {"session_id": [name], "corrupt": [f"{type(error).__name__}: {error}"]}
-                    yield pd.DataFrame(row).reindex(columns=schema.names)
+                    yield _shaped({"session_id": [name], "corrupt": [f"{type(error).__name__}: {error}"]}, schema, 1)
 
     archives = _files(spark, path, "*.tar.gz").filter(F.col("length") >= MIN_ARCHIVE_BYTES)
     return archives.select("path", "content").mapInPandas(decode, schema)
@@ -160,9 +163,7 @@ def _audio_rows(texts: DataFrame) -> DataFrame:
 
 def read_audio(spark: SparkSession, path: str) -> DataFrame:
     """Audio slices stored next to the frames."""
-    texts = (
-        spark.read.option("wholetext", "true").option("pathGlobFilter", AUDIO_FILE).option("recursiveFileLookup", "true").text(path)
-    )
+    texts = spark.read.text(path, wholetext=True, pathGlobFilter=AUDIO_FILE, recursiveFileLookup=True)
     return _audio_rows(texts.select(_session_of("_metadata.file_path").alias("session_id"), F.col("value").alias("text")))
 
 

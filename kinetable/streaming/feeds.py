@@ -12,11 +12,11 @@ from kinetable.operators import catalog
 
 
 def stream_urls(spark: SparkSession, folder: str) -> DataFrame:
-    """New lines of the list files in a folder: ``url``, ``key``, ``pos``; comments are skipped."""
+    """New lines of the list files in a folder: ``url`` and ``key``; comments are skipped."""
     lines = spark.readStream.text(folder).withColumn("url", text.strip(F.col("value")))
     url = F.col("url")
     wanted = (url != "") & ~url.startswith("#") & ~url.startswith("//")
-    return lines.filter(wanted).select("url", text.url_key(url).alias("key"), F.monotonically_increasing_id().alias("pos"))
+    return lines.filter(wanted).select("url", text.url_key(url).alias("key"))
 
 
 def queue_table(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -39,6 +39,8 @@ def append_new(registry: DataFrame, path: str) -> Callable[[DataFrame, int], Non
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        if "pos" not in batch.columns:
+            batch = batch.withColumn("pos", F.monotonically_increasing_id())
         known = spark.createDataFrame([], QUEUE_SCHEMA)
         if number > 0:
             known = queue_table(spark, path, known.schema).filter(F.col("_metadata.file_path").rlike(r"/batch-\d+/"))
