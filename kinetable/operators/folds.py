@@ -15,7 +15,7 @@ Per-slice states are cut with a reliable checkpoint each round.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +31,7 @@ from kinetable.operators.windows import timeline
 from kinetable.session import cut
 
 STATE = T.ArrayType(T.DoubleType())
+BATCH = 20_000
 
 
 @dataclass(frozen=True)
@@ -42,74 +43,92 @@ class Recursion:
     run: Callable
 
 
-def _ordered(rows: pd.DataFrame, line: Timeline) -> pd.DataFrame:
-    return rows.sort_values(list(line.order), kind="mergesort", ignore_index=True)
-
-
-def _entry(states: pd.DataFrame, start) -> list[float]:
-    if states.empty or states["entry"].iloc[0] is None:
-        return list(start)
-    return list(states["entry"].iloc[0])
+def whole_slices(batches: Iterator[pd.DataFrame], group: list[str]) -> Iterator[pd.DataFrame]:
+    """Cut sorted batches at slice borders; a slice spanning batches is put together."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if batch.empty:
+            continue
+        columns = [batch[c].to_numpy() for c in group]
+        change = np.zeros(len(batch), bool)
+        for values in columns:
+            change[1:] |= values[1:] != values[:-1]
+        if held:
+            change[0] = any(held[-1][c].iloc[-1] != batch[c].iloc[0] for c in group)
+        starts = np.flatnonzero(change).tolist()
+        if not held and (not starts or starts[0] != 0):
+            starts = [0, *starts]
+        if held and (not starts or starts[0] != 0):
+            held.append(batch.iloc[: starts[0] if starts else len(batch)])
+        for first, last in zip(starts, [*starts[1:], len(batch)]):
+            if held:
+                yield held[0] if len(held) == 1 else pd.concat(held)
+            held = [batch.iloc[first:last]]
+    if held:
+        yield held[0] if len(held) == 1 else pd.concat(held)
 
 
 def keyed_fold(df: DataFrame, line: Timeline, recursion: Recursion, with_slices: bool = False):
     """Rows of ``df`` with the recursion's outputs; optionally also the slice table.
 
-    Pass only the columns the recursion reads plus what identifies a row.
+    Pass only the columns the recursion reads plus what identifies a row.  A task
+    streams over its sorted slices, so it holds one slice at a time.
     """
     data = line.sliced(df)
     group = line.group
     fields = {f.name: f.dataType for f in data.schema}
     entry_type = [T.StructField(c, fields[c]) for c in group]
     exit_schema = T.StructType([*entry_type, T.StructField("entry", STATE), T.StructField("exit", STATE), T.StructField("extra", STATE)])
-    row_schema = T.StructType(list(data.drop(SLICE).schema) + [T.StructField(n, t) for n, t in recursion.outputs])
+    row_schema = T.StructType(list(df.schema) + [T.StructField(n, t) for n, t in recursion.outputs])
     start, run = list(recursion.start), recursion.run
 
-    def exits_of(rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame(columns=[f.name for f in exit_schema])
-        entry = _entry(states, start)
-        state, _, extra = run(entry, _ordered(rows, line))
-        row = {c: [rows[c].iloc[0]] for c in group}
-        return pd.DataFrame({**row, "entry": [entry], "exit": [list(state)], "extra": [list(extra)]})
-
-    def rows_of(rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        names = [f.name for f in row_schema]
-        if rows.empty:
-            return pd.DataFrame(columns=names)
-        rows = _ordered(rows, line)
-        _, outputs, _ = run(_entry(states, start), rows)
-        return rows.assign(**outputs)[names]
-
-    def run_states(rows: DataFrame, states: DataFrame) -> DataFrame:
-        return rows.groupBy(*group).cogroup(by_slice(states)).applyInPandas(exits_of, exit_schema)
-
-    def by_slice(states: DataFrame):
-        # Aliases make the columns distinct from those of the rows they came from.
-        named = states.select(*[F.col(c).alias("_" + c) for c in group], "entry")
-        return named.select(*[F.col("_" + c).alias(c) for c in group], "entry").groupBy(*group)
+    def entry_of(rows: pd.DataFrame) -> list[float]:
+        state = rows["entry"].iloc[0] if "entry" in rows.columns else None
+        return list(start) if state is None else list(state)
+
+    def exits_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_slices(batches, group):
+            entry = entry_of(rows)
+            state, _, extra = run(entry, rows)
+            head = {c: [rows[c].iloc[0]] for c in group}
+            yield pd.DataFrame({**head, "entry": [entry], "exit": [list(state)], "extra": [list(extra)]})
+
+    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, done, size = row_schema.names, [], 0
+        for rows in whole_slices(batches, group):
+            _, outputs, _ = run(entry_of(rows), rows)
+            done.append(rows.assign(**outputs)[names])
+            size += len(rows)
+            if size >= BATCH:
+                yield pd.concat(done)
+                done, size = [], 0
+        if done:
+            yield pd.concat(done)
+
+    def in_order(rows: DataFrame) -> DataFrame:
+        # The shuffle comes last: nothing after it may split a slice over tasks.
+        return rows.repartition(*group).sortWithinPartitions(*group, *line.order)
+
+    def run_states(states: DataFrame) -> DataFrame:
+        return in_order(data.join(states.select(*group, "entry"), group)).mapInPandas(exits_of, exit_schema)
 
     empty_state = F.array(*[F.lit(float(s)) for s in start]).cast(STATE)
     over = Window.partitionBy(*line.key).orderBy(SLICE)
-    slices = cut(
-        data.select(*group).distinct().withColumn("_last", F.lead(SLICE).over(over).isNull()).withColumn(
-            "_first", F.lag(SLICE).over(over).isNull()
-        )
-    )
+    slices = data.select(*group).distinct()
+    slices = cut(slices.withColumn("_last", F.lead(SLICE).over(over).isNull()).withColumn("_first", F.lag(SLICE).over(over).isNull()))
     needed = slices if with_slices else slices.filter(~F.col("_last"))
     todo = needed.withColumn("entry", empty_state)
-    if todo.isEmpty():
-        exits = todo.withColumn("exit", F.col("entry")).withColumn("extra", F.col("entry"))
-    else:
-        exits = cut(run_states(data.join(needed.select(*group), group, "left_semi"), todo))
-        while True:
-            following = exits.withColumn("_true", F.coalesce(F.lag("exit").over(over), empty_state))
-            stale = ~F.col("entry").eqNullSafe(F.col("_true"))
-            changed = cut(following.filter(stale).select(*group, F.col("_true").alias("entry")))
-            if changed.isEmpty():
-                break
-            redone = run_states(data.join(changed.select(*group), group, "left_semi"), changed)
-            exits = cut(exits.join(changed.select(*group), group, "left_anti").unionByName(redone))
+    if todo.isEmpty():  # every key fits one slice
+        out = in_order(data).mapInPandas(rows_of, row_schema)
+        return (out, todo.withColumn("extra", F.col("entry"))) if with_slices else out
+    exits = cut(run_states(todo))
+    while True:
+        following = exits.withColumn("_true", F.coalesce(F.lag("exit").over(over), empty_state))
+        stale = ~F.col("entry").eqNullSafe(F.col("_true"))
+        changed = cut(following.filter(stale).select(*group, F.col("_true").alias("entry")))
+        if changed.isEmpty():
+            break
+        exits = cut(exits.join(changed.select(*group), group, "left_anti").unionByName(run_states(changed)))
     carried = exits.select(*group, F.col("exit").alias("entry"))
     entries = (
         slices.join(carried, group, "left")
@@ -117,7 +136,7 @@ def keyed_fold(df: DataFrame, line: Timeline, recursion: Recursion, with_slices:
         .filter(~F.col("_first"))
         .select(*group, "entry")
     )
-    out = data.groupBy(*group).cogroup(by_slice(entries)).applyInPandas(rows_of, row_schema)
+    out = in_order(data.join(entries, group, "left")).mapInPandas(rows_of, row_schema)
     return (out, exits) if with_slices else out
 
 
