@@ -13,7 +13,7 @@ URL_IN_TEXT = r"""https?://[^\s\)'"]+"""
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def extract_video_id(text: Column) -> Column:

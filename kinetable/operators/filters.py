@@ -29,12 +29,13 @@ def filter_frames(
     return df
 
 
-def get_sample(df: DataFrame, session, frame_idx: int, names: str = "names", values: Sequence[str] = ()) -> DataFrame:
-    """One frame, its channel arrays zipped with the channel names to maps."""
-    row = df.filter((F.col("session_id") == session) & (F.col("frame_idx") == frame_idx))
+def get_sample(df: DataFrame, wanted: DataFrame, names: Sequence[str] = (), values: Sequence[str] = (), key=("session_id", "frame_idx")) -> DataFrame:
+    """The frames listed in ``wanted``, their channel arrays zipped with the names to maps."""
+    rows = df.join(wanted.select(*key).distinct(), list(key), "left_semi")
+    labels = F.array(*[F.lit(n) for n in names])
     for column in values:
-        row = row.withColumn(column, F.map_from_arrays(names, column))
-    return row
+        rows = rows.withColumn(column, F.map_from_arrays(labels, F.slice(column, 1, len(names))))
+    return rows
 
 
 def accepted_role(role: Column) -> Column:

@@ -87,11 +87,16 @@ def keyed_fold(df: DataFrame, line: Timeline, recursion: Recursion, with_slices:
         return list(start) if state is None else list(state)
 
     def exits_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done = []
         for rows in whole_slices(batches, group):
             entry = entry_of(rows)
             state, _, extra = run(entry, rows)
-            head = {c: [rows[c].iloc[0]] for c in group}
-            yield pd.DataFrame({**head, "entry": [entry], "exit": [list(state)], "extra": [list(extra)]})
+            done.append((*[rows[c].iloc[0] for c in group], entry, list(state), list(extra)))
+            if len(done) >= BATCH:
+                yield pd.DataFrame(done, columns=exit_schema.names)
+                done = []
+        if done:
+            yield pd.DataFrame(done, columns=exit_schema.names)
 
     def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, done, size = row_schema.names, [], 0
@@ -279,7 +284,9 @@ def track(detections: DataFrame, cfg: Config, line: Timeline | None = None, fram
         entry = [0.0]
         for j, (cx, cy, missed) in enumerate(slots):
             entry += [-(j + 1.0), cx, cy, missed, 0.0]
-        frames = [list(zip(g["cx"], g["cy"])) for _, g in rows.groupby(frame, sort=False)]
+        number, spots = rows[frame].to_numpy(), list(zip(rows["cx"].tolist(), rows["cy"].tolist()))
+        cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(spots)]
+        frames = [spots[i:j] for i, j in zip(cuts, cuts[1:])]
         end, labels = steps.track(entry, frames, cfg)
         flat = [pair for faces in labels for pair in faces]
         live = [end[i : i + 5] for i in range(1, len(end), 5)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinetable.anatomy import LEVELS, ROLES
+from kinetable.anatomy import CHANNELS, LEVELS, ROLES
 from kinetable.functions import text
 from kinetable.operators import catalog, filters, joins, listing, windows
 from kinetable.operators.ordered import Timeline
@@ -531,8 +531,9 @@ def _(spark, sf):
     return joins.join_audio_positional(frames, audio).select("session_id", "frame_idx", "energy", "prob")
 
 
-@query("get_sample", f"WITH {EV} SELECT session_id, frame_idx, x, level FROM ev WHERE frame_idx = (SELECT min(event_id) FROM events) AND session_id = (SELECT arg_min(user_id, event_id) FROM events)")
+@query("get_sample", """SELECT label AS session_id, vec_id AS frame_idx, CAST(embedding[18] AS DOUBLE) AS jaw, 52 AS channels FROM embeddings WHERE (label, vec_id) IN (SELECT (label, min(vec_id)) FROM embeddings GROUP BY label)""")
 def _(spark, sf):
-    ev = ev_frames(spark, sf)
-    first = ev.agg(F.min("frame_idx").alias("frame_idx"), F.min_by("session_id", "frame_idx").alias("session_id"))
-    return ev.join(first, ["session_id", "frame_idx"]).select("session_id", "frame_idx", "x", "level")
+    rows = table(spark, sf, "embeddings").select(F.col("label").alias("session_id"), F.col("vec_id").alias("frame_idx"), F.col("embedding").alias("bs"))
+    wanted = rows.groupBy("session_id").agg(F.min("frame_idx").alias("frame_idx"))
+    out = filters.get_sample(rows, wanted, CHANNELS, ["bs"])
+    return out.select("session_id", "frame_idx", F.col("bs")["jawOpen"].cast("double").alias("jaw"), F.size("bs").alias("channels"))
