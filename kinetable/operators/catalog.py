@@ -124,10 +124,6 @@ def queue_summary(queue: DataFrame, report: DataFrame, mb_per_hour: float = 490.
     )
 
 
-def _latest(value: Column, keep: Column, order: list[str]) -> Column:
-    return F.max_by(F.when(keep, value), F.when(keep, F.struct(*order)))
-
-
 def build_registry(recordings: DataFrame, order: list[str]) -> DataFrame:
     """One row per source from its recordings, ordered by the columns ``order``.
 
@@ -137,44 +133,47 @@ def build_registry(recordings: DataFrame, order: list[str]) -> DataFrame:
     rows = recordings.withColumn("key", text.url_key(F.col("url")))
     named = F.col("title").isNotNull() & (F.col("title") != "") & (F.col("title") != "YouTube Video")
     graded = F.col("quality").isNotNull() & (F.col("quality") != "")
-    firsts = F.min_by(F.struct("url", "title"), F.struct(*order))
-    out = rows.groupBy("key").agg(
-        firsts.alias("_first"),
-        F.count(F.lit(1)).alias("recorded_count"),
-        F.sum("frame_count").alias("total_frames"),
-        F.bround(F.sum("duration_seconds"), 2).alias("total_duration_seconds"),
-        F.min(order[0]).alias("first_recorded_at"),
-        F.max(order[0]).alias("last_recorded_at"),
-        _latest(F.col("quality"), graded, order).alias("_quality"),
-        _latest(F.col("title"), named, order).alias("_title"),
+    # First per (source, session), which spreads a hot source, then per source.
+    per = rows.groupBy("key", "session_id").agg(
+        F.min(F.struct(*order, "url", "title")).alias("_first"),
+        F.max(F.when(graded, F.struct(*order, "quality"))).alias("_quality"),
+        F.max(F.when(named, F.struct(*order, "title"))).alias("_title"),
+        F.count(F.lit(1)).alias("_n"),
+        F.sum("frame_count").alias("_frames"),
+        F.sum("duration_seconds").alias("_seconds"),
+        F.max(order[0]).alias("_last"),
     )
-    sessions = registry_sessions(recordings, order, numbered=False)
-    per = sessions.groupBy("key").agg(
-        F.count(F.lit(1)).alias("session_count"),
-        F.max_by("session_id", F.struct("first_seen", "session_id")).alias("last_session"),
+    seen = F.struct(F.struct(*[F.col("_first")[c] for c in order]).alias("at"), "session_id")
+    out = per.groupBy("key").agg(
+        F.min("_first").alias("_first"),
+        F.max("_quality").alias("_quality"),
+        F.max("_title").alias("_title"),
+        F.sum("_n").alias("recorded_count"),
+        F.sum("_frames").alias("total_frames"),
+        F.bround(F.sum("_seconds"), 2).alias("total_duration_seconds"),
+        F.max("_last").alias("last_recorded_at"),
+        F.count("session_id").alias("session_count"),
+        F.max(F.when(F.col("session_id").isNotNull(), seen))["session_id"].alias("last_session"),
     )
-    return out.join(per, "key", "left").select(
+    return out.select(
         "key",
         F.coalesce(text.extract_video_id(F.col("_first.url")), F.lit("N/A")).alias("video_id"),
         text.canonical_url(F.col("_first.url")).alias("canonical_url"),
         text.strip(F.col("_first.url")).alias("raw_url"),
-        F.coalesce("_title", F.nullif(F.col("_first.title"), F.lit("")), F.lit("Stream Video")).alias("title"),
-        F.coalesce("_quality", F.lit("480p")).alias("quality"),
-        "first_recorded_at", "last_recorded_at", "recorded_count",
-        F.coalesce("session_count", F.lit(0)).alias("session_count"), "last_session",
+        F.coalesce("_title.title", F.nullif(F.col("_first.title"), F.lit("")), F.lit("Stream Video")).alias("title"),
+        F.coalesce("_quality.quality", F.lit("480p")).alias("quality"),
+        F.col("_first")[order[0]].alias("first_recorded_at"), "last_recorded_at", "recorded_count", "session_count", "last_session",
         "total_frames", "total_duration_seconds",
     )
 
 
-def registry_sessions(recordings: DataFrame, order: list[str], numbered: bool = True, width: float = 86_400_000_000) -> DataFrame:
+def registry_sessions(recordings: DataFrame, order: list[str], width: float = 86_400_000_000) -> DataFrame:
     """Distinct sessions of each source in first-seen order (``ordinal`` from 0).
 
     The first order column is numeric; ``width`` is the extent of a work slice in it.
     """
     rows = recordings.filter(F.col("session_id").isNotNull()).withColumn("key", text.url_key(F.col("url")))
     seen = rows.groupBy("key", "session_id").agg(F.min(F.struct(*order)).alias("first_seen"))
-    if not numbered:
-        return seen
     seen = seen.withColumn("_t", F.col("first_seen")[order[0]])
     line = Timeline(("key",), ("_t", "first_seen", "session_id"), width)
     return row_index(seen, line, "ordinal").select("key", "session_id", "ordinal")
