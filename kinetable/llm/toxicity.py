@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinetable.session import staged
+
 #: Code points hashed at once, which bounds the memory of a task whatever the texts' length.
 PIECE = 1 << 20
 
@@ -45,17 +47,35 @@ class Settings:
 
 
 @dataclass(frozen=True)
-class Model:
-    """``weights[b]`` is regression weight times log-count ratio of bucket ``b``."""
+class Sparse:
+    """Values of some hash buckets; all others are 0."""
 
     settings: Settings
-    weights: np.ndarray
+    buckets: np.ndarray
+    values: np.ndarray
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros(1 << self.settings.bits)
+        out[self.buckets] = self.values
+        return out
+
+
+@dataclass(frozen=True)
+class Model:
+    """``weights`` are regression weights times log-count ratios."""
+
+    weights: Sparse
     intercept: float
 
+    @property
+    def settings(self) -> Settings:
+        return self.weights.settings
+
     def score(self, texts) -> np.ndarray:
         """Probability of the toxic class for each text, classes taken as equally common."""
-        seen, useful = scratch(self.settings), self.weights != 0
-        logits = np.array([self.intercept + self.weights[buckets(t, self.settings, seen, useful)].sum() for t in texts])
+        seen, weights = scratch(self.settings), self.weights.dense()
+        useful = weights != 0
+        logits = np.array([self.intercept + weights[buckets(t, self.settings, seen, useful)].sum() for t in texts])
         return 1.0 / (1.0 + np.exp(-np.clip(logits, -500, 500)))
 
 
@@ -93,16 +113,15 @@ def buckets(text: str | None, settings: Settings, seen: np.ndarray, useful: np.n
     return every[seen[every] == places].astype(np.int64)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """(doc_id, text, y) of the rows that labels may be learned from: crc32(id) mod 3 is not 1."""
-    known = (
+def training_labels(labels: DataFrame, label: str = "toxic") -> DataFrame:
+    """(doc_id, y) of the rows that may be learned from: crc32(id) mod 3 is not 1."""
+    return (
         labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y"))
         .filter("doc_id is not null and y is not null")
         .filter(~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
     )
-    return docs.select("doc_id", "text").join(known, "doc_id")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -110,77 +129,76 @@ def held_out(doc_id: Column) -> Column:
 
 
 def class_counts(rows: DataFrame, settings: Settings) -> DataFrame:
-    """(bucket, toxic, clean): in how many training rows of each class a bucket occurs."""
+    """(bucket, toxic, clean): in how many rows (text, y) of each class a bucket occurs.
+
+    Every task counts in one vector, which is cut into parts that are added up apart.
+    """
+    size = 1 << settings.bits
+    part = min(size, 1 << 14)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = 1 << settings.bits
-        seen, sums = scratch(settings), np.zeros((2, size), dtype=np.int64)
+        seen, sums = scratch(settings), np.zeros((2, size), dtype=np.int32)
         for batch in batches:
             for text, y in zip(batch.column(0), batch.column(1)):
-                sums[1 if y.as_py() else 0, buckets(text.as_py(), settings, seen)] += 1
+                sums[1 if y.as_py() > 0 else 0, buckets(text.as_py(), settings, seen)] += 1
+        if sums.any():
+            for at in range(0, size, part):
+                yield pa.RecordBatch.from_pylist([{"part": at, "counts": sums[:, at : at + part].tobytes()}])
+
+    def add(group: pa.Table) -> pa.Table:
+        sums = np.zeros((2, part), dtype=np.int64)
+        for counts in group.column("counts"):
+            sums += np.frombuffer(counts.as_buffer(), dtype=np.int32).reshape(2, part)
         used = np.flatnonzero(sums.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[1, used]), pa.array(sums[0, used])], names=["bucket", "toxic", "clean"])
-
-    parts = rows.select("text", "y").mapInArrow(count, "bucket long, toxic long, clean long")
-    return parts.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        return pa.table({"bucket": used + group.column("part")[0].as_py(), "toxic": sums[1, used], "clean": sums[0, used]})
 
+    parts = rows.select("text", "y").mapInArrow(count, "part long, counts binary")
+    return parts.groupBy("part").applyInArrow(add, "bucket long, toxic long, clean long")
 
-def log_count_ratios(counts: DataFrame, settings: Settings) -> np.ndarray:
-    """Log-count ratio per bucket; 0 where it is within ``significance`` standard errors of 0.
-
-    Its size is that of the hash table, whatever the number of rows.
-    """
-    got = counts.toPandas()
-    ratios = np.zeros(1 << settings.bits)
-    ratios[got["bucket"].to_numpy()] = ratio(got["toxic"].to_numpy(), got["clean"].to_numpy(), settings)
-    return ratios
 
-
-def ratio(toxic: np.ndarray, clean: np.ndarray, settings: Settings) -> np.ndarray:
-    if not toxic.any() or not clean.any():
-        return np.zeros(len(toxic))
-    p, q = toxic + settings.smoothing, clean + settings.smoothing
-    r = np.log(p / p.sum()) - np.log(q / q.sum())
-    return np.where(np.abs(r) >= settings.significance * np.sqrt(1 / p + 1 / q), r, 0.0)
+def log_count_ratios(counts: DataFrame, settings: Settings) -> DataFrame:
+    """(bucket, r): the log-count ratios that differ from 0 by ``significance`` standard errors."""
+    p, q = F.col("toxic") + settings.smoothing, F.col("clean") + settings.smoothing
+    totals = counts.agg(F.sum(p).alias("ps"), F.sum(q).alias("qs"), F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    rows = counts.join(F.broadcast(totals), F.lit(True)).filter("t > 0 and c > 0")  # one row
+    r = F.log(p / F.col("ps")) - F.log(q / F.col("qs"))
+    return rows.filter(F.abs(r) >= settings.significance * F.sqrt(1 / p + 1 / q)).select("bucket", r.alias("r"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Learn ratios from all training rows, then regression weights from the bounded sample."""
-    rows = training_rows(docs, labels)
-    flat = Model(settings, np.zeros(1 << settings.bits), 0.0)
-    ratios = log_count_ratios(class_counts(rows, settings), settings)
-    if not ratios.any():
-        return flat
+    known = staged(training_labels(labels))
+    docs = docs.select("doc_id", "text")
+    counts = staged(class_counts(docs.join(known, "doc_id"), settings))
+    got = log_count_ratios(counts, settings).toPandas()  # no more rows than buckets
+    ratios = Sparse(settings, got["bucket"].to_numpy(dtype=np.int64), got["r"].to_numpy(dtype=float))
+    if not len(got):
+        return Model(ratios, 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
+    @F.arrow_udf("array<int>")
     def features(texts: pa.Array) -> pa.Array:
-        seen, useful = scratch(settings), shared.value != 0
+        seen, useful = scratch(settings), shared.value.dense() != 0
         kept = [buckets(text.as_py(), settings, seen, useful).astype(np.int32) for text in texts]
         return pa.array(kept, type=pa.list_(pa.int32()))
 
     def regress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, ys, features = [], [], []
-        for batch in batches:
-            ids += batch.column(0).to_pylist()
-            ys += batch.column(1).to_pylist()
-            features += [f.values.to_numpy() for f in batch.column(2)]
-        order = sorted(range(len(ids)), key=lambda i: ids[i])
-        weights, intercept = descend([features[i] for i in order], np.array([ys[i] for i in order], dtype=float), shared.value, settings)
+        rows = [row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (f.values.to_numpy() for f in batch.column(2)))]
+        rows.sort(key=lambda row: (row[0], len(row[2])))
+        weights, intercept = descend([f for _, _, f in rows], np.array([y for _, y, _ in rows], dtype=float), shared.value.dense(), settings)
         used = np.flatnonzero(weights)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *used]), pa.array([intercept, *weights[used]])], names=["bucket", "weight"])
 
     order = F.xxhash64("doc_id", F.lit(settings.seed))
     half = settings.fit_rows // 2
-    picked = [rows.filter(c).select("doc_id", order.alias("h")).orderBy("h", "doc_id").limit(half).select("doc_id") for c in ("y > 0", "y <= 0")]
+    picked = [known.filter(c).select("doc_id", "y", order.alias("h")).orderBy("h", "doc_id").limit(half).drop("h") for c in ("y > 0", "y <= 0")]
     # At most fit_rows ids: small enough to send to every task at any size of the corpus.
-    sample = rows.join(F.broadcast(picked[0].union(picked[1]).distinct()), "doc_id")
-    sample = sample.select("doc_id", "y", F.arrow_udf(features, "array<int>")("text").alias("f"))
+    sample = docs.join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("doc_id", "y", features("text").alias("f"))
     # The bounded sample meets in one task here, as the regression is sequential.
-    fitted = sample.coalesce(1).mapInArrow(regress, "bucket long, weight double").toPandas()
-    weights = np.zeros(1 << settings.bits)
+    fitted = staged(sample).coalesce(1).mapInArrow(regress, "bucket long, weight double").toPandas()
     inner = fitted[fitted["bucket"] >= 0]
-    weights[inner["bucket"].to_numpy()] = inner["weight"].to_numpy()
-    return Model(settings, weights, float(fitted["weight"][fitted["bucket"] < 0].sum()))
+    weights = Sparse(settings, inner["bucket"].to_numpy(dtype=np.int64), inner["weight"].to_numpy(dtype=float))
+    return Model(weights, float(fitted["weight"][fitted["bucket"] < 0].sum()))
 
 
 def descend(features: list[np.ndarray], ys: np.ndarray, ratios: np.ndarray, settings: Settings) -> tuple[np.ndarray, float]:
