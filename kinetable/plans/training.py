@@ -33,8 +33,8 @@ def build_training(
     """Training rows of all sessions.
 
     ``frames``: session_id, frame_idx, t (seconds), role, channels, pose (3), and
-    landmarks unless ``lean``; audio is taken from its own columns if present, else
-    from ``audio`` by position.  ``materialize`` stores the accepted frames once in
+    landmarks unless ``lean``; a session's audio is taken from its own columns if it has
+    any spectra there, else from ``audio`` by position, else it is silent.  ``materialize`` stores the accepted frames once in
     the shared checkpoint folder, since medians, split and features all read them.
     """
     key = ["session_id"]
@@ -43,10 +43,7 @@ def build_training(
         kept.append("landmarks")
     rows = frames.select(*[c for c in kept if c in frames.columns])
     rows = training_frames(rows, min_frames)
-    if "spectral" not in rows.columns:
-        rows = joins.join_audio_positional(rows, audio) if audio is not None else rows.withColumns(
-            {"energy": F.lit(0.0), "prob": F.lit(1.0), "spectral": F.array_repeat(F.lit(0.0), 64)}
-        )
+    rows = with_audio(rows, audio)
     if materialize:
         rows = staged(rows)
     get = vision.channels("channels", names)
@@ -67,6 +64,29 @@ def build_training(
     )
 
 
+def with_audio(rows: DataFrame, audio: DataFrame | None) -> DataFrame:
+    """Audio columns of every session: stored ones, else those of ``audio``, else silence."""
+
+    def filled(df: DataFrame) -> DataFrame:
+        bare = df.drop(*AUDIO)
+        if audio is not None:
+            return joins.join_audio_positional(bare, audio)
+        return bare.withColumns({"energy": F.lit(0.0), "prob": F.lit(1.0), "spectral": F.array_repeat(F.lit(0.0), 64)})
+
+    if "spectral" not in rows.columns:
+        return filled(rows)
+    stored = rows.filter(F.col("spectral").isNotNull()).select("session_id").distinct()
+    has = rows.join(stored, "session_id", "left_semi")
+    lacks = filled(rows.join(stored, "session_id", "left_anti"))
+    # Types as stored, so that both parts fit together.
+    types = {f.name: f.dataType for f in rows.schema if f.name in AUDIO}
+    for name, default in (("energy", F.lit(0.0)), ("prob", F.lit(1.0))):
+        if name not in types:
+            has = has.withColumn(name, default)
+    lacks = lacks.withColumns({name: F.col(name).cast(kind) for name, kind in types.items()})
+    return has.unionByName(lacks)
+
+
 def feature_stats(training: DataFrame) -> DataFrame:
     """Mean, deviation, min and max of every component of every feature."""
     parts = []

@@ -61,14 +61,16 @@ def _decode(session: str, data: bytes, schema: T.StructType) -> Iterator[pd.Data
     try:
         with np.load(io.BytesIO(data), allow_pickle=False) as stored:
             n = len(stored["timestamps"])
-            # Arrays of another length than the frames are treated as absent.
-            arrays = {
-                c: stored[a] for a, c, _ in ARRAYS if c in wanted and a in stored.files and len(stored[a]) == n
-            }
+            found = {c: stored[a] for a, c, _ in ARRAYS if c in wanted and a in stored.files}
+            # Arrays of another length than the frames can't be placed: their column is null, and a row says why.
+            arrays = {c: values for c, values in found.items() if np.ndim(values) and len(values) == n}
+            unplaced = [f"{c}: {len(v) if np.ndim(v) else 'no'} values for {n} frames" for c, v in found.items() if c not in arrays]
             names = [str(x) for x in stored["blendshape_names"]] if "blendshape_names" in stored.files else None
     except Exception as error:
         yield _shaped({"session_id": [session], "corrupt": [f"{type(error).__name__}: {error}"]}, schema, 1)
         return
+    if unplaced:
+        yield _shaped({"session_id": [session], "corrupt": ["; ".join(unplaced)]}, schema, 1)
     for at in range(0, n, BATCH):
         size = min(BATCH, n - at)
         frame = {"session_id": [session] * size, "frame_idx": np.arange(at, at + size)}
@@ -115,15 +117,20 @@ def read_sessions(spark: SparkSession, path: str, columns: Sequence[str] | None
 
 
 def _members(data: bytes, suffix: str) -> Iterator[tuple[str, bytes]]:
+    if len(data) < MIN_ARCHIVE_BYTES:
+        raise ValueError(f"an archive of {len(data)} bytes")
     with tarfile.open(fileobj=io.BytesIO(data), mode="r:gz") as archive:
         for member in archive:
             if member.isfile() and member.name.endswith(suffix):
                 folders = member.name.split("/")
                 yield (folders[0] if len(folders) > 1 else "default_session"), archive.extractfile(member).read()
+        # The loop ends quietly where an archive is cut off; reading on to its end does not.
+        while archive.fileobj.read(1 << 20):
+            pass
 
 
 def read_chunks(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Frames of the sessions inside every archive, one task per archive."""
+    """Frames of the sessions inside every archive, one task per archive; damage has ``corrupt`` set."""
     schema = frame_schema(columns)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,8 +142,7 @@ def read_chunks(spark: SparkSession, path: str, columns: Sequence[str] | None =
                 except Exception as error:
                     yield _shaped({"session_id": [name], "corrupt": [f"{type(error).__name__}: {error}"]}, schema, 1)
 
-    archives = _files(spark, path, "*.tar.gz").filter(F.col("length") >= MIN_ARCHIVE_BYTES)
-    return archives.select("path", "content").mapInPandas(decode, schema)
+    return _files(spark, path, "*.tar.gz").select("path", "content").mapInPandas(decode, schema)
 
 
 AUDIO = T.StructType(
@@ -148,39 +154,46 @@ AUDIO = T.StructType(
         T.StructField("spectral_features", T.ArrayType(T.FloatType())),
     ]
 )
-AUDIO_COLUMNS = ("session_id", "slice_idx", "t", "energy_rms", "is_speech", "vad_confidence", "spectral")
+AUDIO_COLUMNS = ("session_id", "slice_idx", "t", "energy_rms", "is_speech", "vad_confidence", "spectral", "corrupt")
 
 
 def _audio_rows(texts: DataFrame) -> DataFrame:
-    """``session_id``, ``text`` of a JSON list to one row per slice, position kept."""
+    """``session_id``, ``text`` of a JSON list to one row per slice, position kept.
+
+    A document that is no such list gives one row with ``corrupt`` set; so does a row of ``texts``.
+    """
     parsed = F.from_json("text", T.ArrayType(AUDIO))
-    rows = texts.select("session_id", F.posexplode(parsed).alias("slice_idx", "a"))
+    why = F.col("corrupt") if "corrupt" in texts.columns else F.lit(None).cast("string")
+    # What can't be parsed is null, or one all-null element for a text that is no list.
+    list_like = F.rlike("text", F.lit(r"^\s*\[")) & parsed.isNotNull() & ~F.exists(parsed, lambda a: a.isNull())
+    rows = texts.withColumns({"_a": F.when(list_like, parsed), "corrupt": F.coalesce(why, F.when(~F.coalesce(list_like, F.lit(False)), "audio: no list of slices"))})
+    rows = rows.filter(F.col("corrupt").isNotNull() | (F.size("_a") > 0)).select("session_id", "corrupt", F.posexplode_outer("_a").alias("slice_idx", "a"))
     return rows.select(
         "session_id", F.col("slice_idx").cast("long").alias("slice_idx"), F.col("a.timestamp").alias("t"), "a.energy_rms", "a.is_speech",
-        "a.vad_confidence", F.col("a.spectral_features").alias("spectral"),
+        "a.vad_confidence", F.col("a.spectral_features").alias("spectral"), "corrupt",
     )
 
 
 def read_audio(spark: SparkSession, path: str) -> DataFrame:
-    """Audio slices stored next to the frames."""
+    """Audio slices stored next to the frames; unreadable documents have ``corrupt`` set."""
     texts = spark.read.text(path, wholetext=True, pathGlobFilter=AUDIO_FILE, recursiveFileLookup=True)
     return _audio_rows(texts.select(_session_of("_metadata.file_path").alias("session_id"), F.col("value").alias("text")))
 
 
 def read_chunk_audio(spark: SparkSession, path: str) -> DataFrame:
-    """Audio slices stored inside archives."""
+    """Audio slices stored inside archives; damaged archives have ``corrupt`` set."""
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for data in batch["content"]:
+            for name, data in zip(batch["path"], batch["content"]):
                 try:
                     for session, member in _members(data, AUDIO_FILE):
-                        yield pd.DataFrame({"session_id": [session], "text": [member.decode("utf-8", "replace")]})
-                except (tarfile.TarError, OSError, EOFError):
-                    continue  # reported by read_chunks
+                        yield pd.DataFrame({"session_id": [session], "text": [member.decode("utf-8", "replace")], "corrupt": [None]})
+                except Exception as error:
+                    yield pd.DataFrame({"session_id": [name], "text": [None], "corrupt": [f"{type(error).__name__}: {error}"]})
 
-    archives = _files(spark, path, "*.tar.gz").filter(F.col("length") >= MIN_ARCHIVE_BYTES)
-    return _audio_rows(archives.select("content").mapInPandas(texts, "session_id string, text string"))
+    archives = _files(spark, path, "*.tar.gz").select("path", "content")
+    return _audio_rows(archives.mapInPandas(texts, "session_id string, text string, corrupt string"))
 
 
 METADATA = T.StructType(

@@ -75,8 +75,43 @@ def test_archives(spark, folder, tmp_path_factory):
     rows = sessions.read_chunks(spark, str(place)).cache()
     counts = {r.session_id: r["count"] for r in sessions.good_rows(rows).groupBy("session_id").count().collect()}
     assert counts == {"session_1": 40, "session_2": 30, "default_session": 1}
-    assert [r.session_id.rsplit("/", 1)[1] for r in sessions.corrupt_files(rows).collect()] == ["broken.tar.gz"]
-    assert sessions.read_chunk_audio(spark, str(place)).count() == 39 + 29
+    damaged = ["broken.tar.gz", "tiny.tar.gz"]
+    assert sorted(r.session_id.rsplit("/", 1)[1] for r in sessions.corrupt_files(rows).collect()) == damaged
+    audio = sessions.read_chunk_audio(spark, str(place)).cache()
+    assert sessions.good_rows(audio).count() == 39 + 29
+    assert sorted(r.session_id.rsplit("/", 1)[1] for r in sessions.corrupt_files(audio).collect()) == damaged
+    rows.unpersist(), audio.unpersist()  # a cached plan of the same path would be used again
+    with tarfile.open(place / "half.tar.gz", "w:gz") as tar:
+        for i in (1, 2):
+            tar.add(folder / f"session_{i}", arcname=f"session_{i}")
+    data = (place / "half.tar.gz").read_bytes()
+    (place / "half.tar.gz").write_bytes(data[: len(data) * 3 // 4])
+    for reader in (sessions.read_chunks, sessions.read_chunk_audio):
+        assert "half.tar.gz" in {r.session_id.rsplit("/", 1)[1] for r in sessions.corrupt_files(reader(spark, str(place))).collect()}
+
+
+def test_unused_arrays_and_bad_audio_are_reported(spark, folder):
+    (folder / "session_1" / "face_motion.npz").write_bytes(packed({**arrays(40), "roles": np.array(["SPEAKER"] * 5)}))
+    for name, text in (("session_1", "{broken"), ("session_2", "{}"), ("session_bad", "[]")):
+        (folder / name / "audio_features.json").write_text(text)
+    rows = sessions.read_sessions(spark, str(folder), ["t", "role"]).filter("session_id = 'session_1'").cache()
+    assert [r.corrupt for r in sessions.corrupt_files(rows).collect()] == ["role: 5 values for 40 frames"]
+    assert sessions.good_rows(rows).count() == 40 and sessions.good_rows(rows).filter("role is not null").count() == 0
+    audio = sessions.read_audio(spark, str(folder))
+    assert sorted(r.session_id for r in sessions.corrupt_files(audio).collect()) == ["session_1", "session_2"]
+    assert sessions.good_rows(audio).count() == 0
+
+
+def test_audio_is_chosen_session_by_session(spark):
+    """One session has stored spectra, one only separate audio, one none."""
+    schema = "session_id string, frame_idx long, t double, role string, channels array<double>, pose array<double>, spectral array<float>, energy double, prob double"
+    rows = [(s, i, i / 30, "SPEAKER", [0.1] * 52, [0.0] * 3, [0.5] * 64 if s == "a" else None, 0.3 if s == "a" else None, 0.4 if s == "a" else None) for s in "abc" for i in range(12)]
+    audio = spark.createDataFrame([("b", i, i / 30, 0.2, None, 0.6, [0.25] * 64) for i in range(12)], "session_id string, slice_idx long, t double, energy_rms double, is_speech boolean, vad_confidence double, spectral array<float>")
+    built = training.build_training(spark.createDataFrame(rows, schema), audio, names=sorted(CHANNELS))
+    assert built.count() == 36
+    got = {r.session_id: r for r in built.filter("frame_idx = 4").collect()}
+    assert got["a"].spectral[0] == 0.5 and got["a"].energy == 0.3 and got["b"].spectral[0] == 0.25 and got["b"].energy == pytest.approx(0.2)
+    assert got["c"].energy == 0.0 and set(got["c"].spectral) == {0.0}
 
 
 def test_training_from_folders(spark, folder, tmp_path_factory):
