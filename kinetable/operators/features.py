@@ -30,11 +30,24 @@ def fallback_spectrum(df: DataFrame, key=("session_id",), from_rows: DataFrame |
 
 
 def frame_rms(df: DataFrame, hop: int, key: str = "session_id", samples: str = "samples") -> DataFrame:
-    """RMS of every full hop of samples, scaled by the largest of its recording."""
-    count = F.floor(F.size(samples) / hop).cast("int")
-    frames = df.filter(count > 0).select(key, F.explode(F.sequence(F.lit(0), count - 1)).alias("frame"), samples)
-    part = F.slice(F.col(samples), F.col("frame") * hop + 1, F.lit(hop))
-    values = frames.select(key, F.col("frame").cast("long").alias("frame"), audio.rms(part).alias("rms"))
+    """RMS of every full hop of samples, scaled by the largest of its recording.
+
+    A recording is one row, or pieces with an ``offset`` column; a piece gives the sums of
+    squares of the hops it touches, and hops across pieces add them up.
+    """
+    offset = F.col("offset").cast("long") if "offset" in df.columns else F.lit(0).cast("long")
+    touched = F.sequence(F.floor(offset / hop), F.floor((offset + F.size(samples) - 1) / hop))
+
+    def part(frame: Column) -> Column:
+        start = F.greatest(frame * hop - offset, F.lit(0))
+        n = F.least((frame + 1) * hop - offset, F.size(samples)) - start
+        inner = F.slice(F.col(samples), (start + 1).cast("int"), n.cast("int"))
+        squares = F.aggregate(inner, F.lit(0.0), lambda done, x: done + x.cast("double") * x.cast("double"))
+        return F.struct(frame.alias("frame"), n.alias("n"), squares.alias("squares"))
+
+    parts = df.filter(F.size(samples) > 0).select(key, F.explode(F.transform(touched, part)).alias("p"))
+    sums = parts.groupBy(key, "p.frame").agg(F.sum("p.n").alias("_n"), F.sum("p.squares").alias("_squares")).filter(F.col("_n") == hop)
+    values = sums.select(key, "frame", F.sqrt(F.col("_squares") / hop).alias("rms"))
     top = values.groupBy(key).agg(F.max("rms").alias("_top"))
     return values.join(top, key).select(
         key, "frame", F.when(F.col("_top") > 0, F.col("rms") / F.col("_top")).otherwise(F.col("rms")).alias("rms")
@@ -43,14 +56,16 @@ def frame_rms(df: DataFrame, hop: int, key: str = "session_id", samples: str = "
 
 def slice_audio(frames: DataFrame, clips: DataFrame, rate: int = 16000, fps: float = 30.0, key: str = "session_id",
                 t: str = "t", block: int = 160_000) -> DataFrame:
-    """Samples of each frame, zero padded: ``rate/fps`` samples from ``int(t * rate)``.
+    """Samples of each frame, zeros where the recording has none: ``rate/fps`` samples from ``int(t * rate)``.
 
     ``clips`` holds one recording as rows of (key, offset, samples); a frame meets
     only the blocks its samples lie in, through an equi-join on the block number.
     """
     length = int(rate * (1.0 / max(1.0, fps)))
     start = (F.col(t) * rate).cast("long")
-    wanted = frames.withColumn("_from", start).withColumn(
+    # Equal frames share one window, which is joined back to each of them.
+    placed = frames.withColumn("_from", start)
+    wanted = placed.select(key, "_from").distinct().withColumn(
         "_block", F.explode(F.sequence(F.floor(F.col("_from") / block), F.floor((F.col("_from") + length - 1) / block)))
     )
     first = F.floor(F.col("offset") / block)
@@ -68,14 +83,22 @@ def slice_audio(frames: DataFrame, clips: DataFrame, rate: int = 16000, fps: flo
             F.slice("samples", (F.col("_low") - F.col("offset") + 1).cast("int"), F.col("_n")).alias("s"),
         ),
     )
-    out = met.groupBy(*frames.columns, "_from").agg(F.array_sort(F.collect_list(piece)).alias("_p"))
-    # Blocks of one recording follow each other without gaps, so padding is only needed around them.
-    body = F.flatten(F.transform("_p", lambda p: p["s"].cast("array<double>")))
-    lead = F.when(F.size("_p") > 0, (F.col("_p")[0]["at"] - F.col("_from")).cast("int")).otherwise(F.lit(0))
-    padded = F.concat(
-        F.array_repeat(F.lit(0.0), lead), body, F.array_repeat(F.lit(0.0), F.lit(length) - lead - F.size(body))
+    # No more pieces than blocks and recordings that meet one window.
+    out = met.groupBy(key, "_from").agg(F.array_sort(F.collect_list(piece)).alias("_p"))
+
+    def place(done, p):
+        """Each piece at its own offset: gaps become zeros, what an earlier piece holds is skipped."""
+        at = (p["at"] - F.col("_from")).cast("int")
+        zeros = F.array_repeat(F.lit(0.0), F.greatest(at - F.size(done), F.lit(0)))
+        held = F.greatest(F.size(done) - at, F.lit(0))
+        rest = F.slice(p["s"].cast("array<double>"), held + 1, F.greatest(F.size(p["s"]) - held, F.lit(0)))
+        return F.concat(done, zeros, rest)
+
+    body = F.aggregate("_p", F.array().cast("array<double>"), place)
+    padded = out.select(key, "_from", body.alias("_body")).withColumn(
+        "samples", F.concat("_body", F.array_repeat(F.lit(0.0), F.lit(length) - F.size("_body")))
     )
-    return out.select(*frames.columns, padded.alias("samples"))
+    return placed.join(padded, [key, "_from"], "left").select(*frames.columns, "samples")
 
 
 def mel_filterbank(rate: int = 16000, bands: int = BANDS, fft: int = FFT, low: float = 60.0) -> np.ndarray:
@@ -140,12 +163,9 @@ def log_mel_sequence(frames: DataFrame, clips: DataFrame, rate: int = 16000, key
     at = (centre - FFT // 2 + FFT) / F.lit(float(rate))
     shifted = clips.withColumn("offset", F.col("offset") + FFT)
     windows = slice_audio(frames.withColumn("_at", at + 1e-9), shifted, rate, rate / FFT, key, "_at")
-    scaled = windows.join(peak, key).withColumn(
+    # Sessions without a recording keep their frames, with silence.
+    scaled = windows.join(peak, key, "left").withColumn(
         "samples",
         F.when(F.col("_peak") > 1e-4, F.transform("samples", lambda x: x / F.col("_peak"))).otherwise(F.col("samples")),
     )
     return log_mel(scaled.drop("_peak", "_at"), rate=rate).drop("samples")
-
-
-def channel_map(names: Column, values: Column) -> Column:
-    return F.map_from_arrays(names, values)

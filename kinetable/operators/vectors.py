@@ -5,11 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kinetable.operators.quantiles import exact_quantiles
 
@@ -55,18 +53,13 @@ def wide_vector_stats(df: DataFrame, column: str) -> DataFrame:
 
     parts = df.select(column).mapInArrow(moments, "n long, mean array<double>, m2 array<double>, low array<double>, high array<double>")
     flat = parts.select("n", F.posexplode(F.arrays_zip("mean", "m2", "low", "high")).alias("pos", "p")).select("n", "pos", "p.*")
+    # Spread around the overall mean: that inside the parts plus that of the parts' means.
     total = F.sum("n")
-    # Sum of squares around the overall mean, from the parts' means and deviations.
-    merged = flat.groupBy("pos").agg(
-        total.alias("n"),
-        (F.sum(F.col("n") * F.col("mean")) / total).alias("mean"),
-        F.sum("m2").alias("_m2"),
-        F.collect_list(F.struct("n", "mean")).alias("_parts"),
-        F.min("low").alias("min"),
-        F.max("high").alias("max"),
-    )
-    between = F.aggregate("_parts", F.lit(0.0), lambda acc, p: acc + p["n"] * (p["mean"] - F.col("mean")) * (p["mean"] - F.col("mean")))
-    return merged.select("pos", "n", "mean", F.sqrt((F.col("_m2") + between) / F.col("n")).alias("std"), "min", "max")
+    mean = F.sum(F.col("n") * F.col("mean")) / total
+    merged = flat.groupBy("pos").agg(total.alias("n"), mean.alias("mean"), F.sum("m2").alias("_m2"), F.min("low").alias("min"), F.max("high").alias("max"))
+    centres = F.broadcast(merged.select("pos", F.col("mean").alias("_centre")))  # one row per component
+    apart = flat.join(centres, "pos").groupBy("pos").agg(F.sum(F.col("n") * (F.col("mean") - F.col("_centre")) ** 2).alias("_between"))
+    return merged.join(apart, "pos").select("pos", "n", "mean", F.sqrt((F.col("_m2") + F.col("_between")) / F.col("n")).alias("std"), "min", "max")
 
 
 def top_components(df: DataFrame, column: str, n: int = 8) -> DataFrame:
@@ -77,45 +70,18 @@ def top_components(df: DataFrame, column: str, n: int = 8) -> DataFrame:
     return stats.orderBy(F.desc("variance"), F.desc("pos")).limit(n)
 
 
-BLOCK = 192
-GROUP_ROWS = 100_000
-
-
-def median_vector(df: DataFrame, key: Sequence[str], column: str, name: str = "median", limit: int = GROUP_ROWS) -> DataFrame:
-    """Exact element-wise median of each key's vectors (rows of equal length).
+def median_vector(df: DataFrame, key: Sequence[str], column: str, name: str = "median") -> DataFrame:
+    """Exact element-wise median of each key's vectors, the same way for keys of any size.
 
-    Keys with at most ``limit`` rows are reduced in blocks of components, whose
-    size is bounded by ``limit * BLOCK`` values; larger keys go through
-    :func:`exact_quantiles`, which never gathers a key.
+    Nulls inside vectors and shorter vectors don't count; a component without any value
+    has a null median.  Keys without a vector are left out.
     """
     key = list(key)
-    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    small = counts.filter(F.col("_n") <= limit).select(*key)
-    large = counts.filter(F.col("_n") > limit).select(*key)
-    starts = F.sequence(F.lit(0), F.size(column) - 1, F.lit(BLOCK))
-    blocks = (
-        df.select(*key, column)
-        .join(small, key, "left_semi")
-        .select(*key, column, F.explode(starts).alias("_at"))
-        .select(*key, "_at", F.slice(column, F.col("_at") + 1, F.lit(BLOCK)).alias("_v"))
-    )
-    fields = {f.name: f.dataType for f in blocks.schema}
-    schema = T.StructType([T.StructField(c, fields[c]) for c in (*key, "_at")] + [T.StructField("_m", T.ArrayType(T.DoubleType()))])
-
-    def middle(rows: pd.DataFrame) -> pd.DataFrame:
-        values = np.stack(rows["_v"].to_numpy()).astype(float)
-        head = {c: [rows[c].iloc[0]] for c in (*key, "_at")}
-        return pd.DataFrame({**head, "_m": [np.median(values, axis=0)]})
-
-    near = blocks.groupBy(*key, "_at").applyInPandas(middle, schema)
-    near = near.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_at", "_m"))).alias("_b"))
-    near = near.select(*key, F.flatten(F.transform("_b", lambda b: b["_m"])).alias(name))
-    values = exact_quantiles(
-        components(df.join(large, key, "left_semi"), column, key), [*key, "pos"], "x", [0.5]
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "q0")))
-    far = values.groupBy(*key).agg(F.transform(ordered, lambda r: r["q0"]).alias(name))
-    return near.unionByName(far)
+    values = exact_quantiles(components(df, column, key), [*key, "pos"], "x", [0.5])
+    medians = values.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("pos", "q0"))).alias("_m"))
+    widths = df.filter(F.col(column).isNotNull()).groupBy(*key).agg(F.max(F.size(column)).alias("_w"))
+    places = F.when(F.col("_w") > 0, F.sequence(F.lit(0), F.col("_w") - 1)).otherwise(F.array().cast("array<int>"))
+    return widths.join(medians, key, "left").select(*key, F.transform(places, lambda i: F.try_element_at("_m", i)).alias(name))
 
 
 def pose_delta(df: DataFrame, key: Sequence[str], column: str = "pose", name: str = "pose_delta", from_rows: DataFrame | None = None) -> DataFrame:
@@ -128,12 +94,20 @@ def pose_delta(df: DataFrame, key: Sequence[str], column: str = "pose", name: st
 
 def mean_variance(df: DataFrame, key: Sequence[str], column: str, points: Sequence[int] | None = None) -> DataFrame:
     """Variance across a key's rows of each coordinate of some landmarks, averaged."""
-    vector = F.col(column)
-    if points is not None:
-        vector = F.array(*[F.col(column)[p * 3 + axis] for p in points for axis in range(3)])
-    rows = components(df.select(*key, vector.alias("_v")), "_v", key)
-    per = rows.groupBy(*key, "pos").agg(F.var_pop("x").alias("v"))
-    return per.groupBy(*key).agg(F.avg("v").alias("variance"))
+    return mean_variances(df, key, {"variance": (column, points)})
+
+
+def mean_variances(df: DataFrame, key: Sequence[str], parts: dict[str, tuple[str, Sequence[int] | None]]) -> DataFrame:
+    """:func:`mean_variance` of several ``{name: (column, points)}`` in one pass over the rows."""
+    vectors = []
+    for name, (column, points) in parts.items():
+        vector = F.col(column)
+        if points is not None:
+            vector = F.array(*[F.col(column)[p * 3 + axis] for p in points for axis in range(3)])
+        vectors.append(F.struct(F.lit(name).alias("part"), vector.cast("array<double>").alias("v")))
+    rows = df.select(*key, F.explode(F.array(*vectors)).alias("_s")).select(*key, "_s.part", F.posexplode("_s.v").alias("pos", "x"))
+    per = rows.groupBy(*key, "part", "pos").agg(F.var_pop("x").alias("v"))
+    return per.groupBy(*key).agg(*[F.avg(F.when(F.col("part") == name, F.col("v"))).alias(name) for name in parts])
 
 
 def variance_report(df: DataFrame, key: Sequence[str], raw: str, normalized: str, anchors: Sequence[int], lips: Sequence[int],
@@ -146,10 +120,7 @@ def variance_report(df: DataFrame, key: Sequence[str], raw: str, normalized: str
     parts = {"raw_anchor": (raw, anchors), "norm_anchor": (normalized, anchors), "norm_lips": (normalized, lips)}
     if residual is not None:
         parts["residual_anchor"] = (residual, anchors)
-    out = None
-    for name, (column, points) in parts.items():
-        part = mean_variance(df, key, column, points).agg(F.avg("variance").alias(name))
-        out = part if out is None else out.crossJoin(part)  # one row each
+    out = mean_variances(df, key, parts).agg(*[F.avg(name).alias(name) for name in parts])
     return out.withColumn("reduction_ratio", F.col("raw_anchor") / F.greatest(F.lit(1e-9), F.col("norm_anchor")))
 
 
@@ -160,7 +131,7 @@ def speech_drive(df: DataFrame, energy: str, jaw: str, key: Sequence[str] = (),
     if key:
         rows = df.join(jaws.join(energies, list(key)), list(key))
     else:
-        rows = df.crossJoin(jaws).crossJoin(energies)  # one row each
+        rows = df.crossJoin(F.broadcast(jaws)).crossJoin(F.broadcast(energies))  # one row each
 
     def unit(value):
         return F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))
