@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetable.operators.ordered import Timeline, row_index, running
+from kinetable.session import staged
 
 
 def align_audio(
@@ -26,7 +27,7 @@ def align_audio(
     counts = frames.groupBy(key).agg(F.count(F.lit(1)).alias("_f")).join(
         audio.groupBy(key).agg(F.count(F.lit(1)).alias("_a")), key, "left"
     )
-    same = counts.filter(F.col("_f") == F.col("_a")).select(key)
+    same = staged(counts.filter(F.col("_f") == F.col("_a")).select(key))
 
     by_place = row_index(frames.join(same, key, "left_semi"), Timeline((key,), (t, frame), width), "_i")
     places = row_index(
@@ -45,7 +46,7 @@ def align_audio(
     line = Timeline((key,), (t, "_kind", "_id"), width)
     point = F.when(F.col("_audio").isNotNull(), F.struct(t, "_audio"))
     # A slice at the very time of a frame comes first, so looking back finds it.
-    merged = running(union, line, {"_back": ("max", point)})
+    merged = staged(running(union, line, {"_back": ("max", point)}))
     merged = running(merged, line, {"_ahead": ("min", point)}, backward=True).filter(F.col("_kind") == 1)
     back, ahead = F.col(t) - F.col("_back")[t], F.col("_ahead")[t] - F.col(t)
     nearest = (

@@ -105,7 +105,7 @@ def exclude_ids(candidates: DataFrame, *known: DataFrame, key: str = "id") -> Da
 
 
 def chunk_assignment(sessions: DataFrame, line: Timeline, size: int = 10) -> DataFrame:
-    """Archive number of each session: every ``size`` sessions in order share one."""
+    """Archive number of each session: every ``size`` sessions in order (of names, say) share one."""
     return row_index(sessions, line, "_i").withColumn("chunk_id", F.floor(F.col("_i") / size)).drop("_i")
 
 

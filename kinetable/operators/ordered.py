@@ -15,25 +15,29 @@ through a small table with one row per slice:
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetable.session import staged
+
 SLICE = "_slice"
 SUPER = "_super"
 SUPER_WIDTH = 4096
+SLICE_ROWS = 200_000
 
 MERGES = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 @dataclass(frozen=True)
 class Timeline:
-    """Rows of one ``key`` in ``order``; the first order column is numeric.
+    """Rows of one ``key`` in ``order``; with a key, the first order column is numeric.
 
     ``width`` is the extent of a slice in units of that column; the order columns
-    together must be unique within the key.  An empty key means one global order.
+    together must be unique within the key.  An empty key means one global order, which
+    is cut by row counts where rows are only numbered (:func:`positions`).
     """
 
     key: tuple[str, ...]
@@ -141,8 +145,27 @@ def previous(df: DataFrame, line: Timeline, values: Mapping[str, Column]) -> Dat
     return scan(df, line, prev=values)
 
 
+def positions(df: DataFrame, order: Sequence[str], name: str = "idx", rows: int = SLICE_ROWS) -> DataFrame:
+    """Zero-based position of each row in one global order of any orderable columns.
+
+    Range partitioning samples the rows, so that every part holds about ``rows`` of them
+    whatever the values are; a part's rows are numbered after those of the parts before.
+    """
+    data = staged(df)
+    parts = max(1, -(-data.count() // rows))
+    laid = data.repartitionByRange(parts, *order).withColumn(SLICE, F.spark_partition_id())
+    laid = staged(laid)
+    before = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    sizes = laid.groupBy(SLICE).agg(F.count(F.lit(1)).alias("_n"))
+    bases = F.broadcast(sizes.select(SLICE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")))
+    inside = F.row_number().over(Window.partitionBy(SLICE).orderBy(*order)) - 1
+    return laid.withColumn("_at", inside).join(bases, SLICE).select(*df.columns, (F.col("_base") + F.col("_at")).alias(name))
+
+
 def row_index(df: DataFrame, line: Timeline, name: str = "idx") -> DataFrame:
     """Zero-based position of each row in its key's order (global if the key is empty)."""
+    if not line.key:
+        return positions(df, line.order, name)
     return running(df, line, {name: ("sum", F.lit(1).cast("long"))}).withColumn(name, F.col(name) - 1)
 
 

@@ -18,6 +18,7 @@ from kinetable.operators.ordered import (
     spread,
     with_halo,
 )
+from kinetable.session import staged
 
 
 def timeline(cfg: Config, key=("session_id",), order=("t", "frame_idx")) -> Timeline:
@@ -142,7 +143,7 @@ def monotonic_ms(df: DataFrame, cfg: Config, line: Timeline | None = None, name:
     """
     line = line or timeline(cfg)
     ms = F.bround(F.col(line.order[0]) / F.lit(cfg.unit) * 1000).cast("long")
-    indexed = row_index(df, line, "_i")
+    indexed = staged(row_index(df, line, "_i"))
     out = running(indexed, line, {"_lead": ("max", ms - F.col("_i"))})
     return out.select(*df.columns, (F.col("_i") + F.greatest(F.lit(0), F.col("_lead"))).alias(name))
 
@@ -158,6 +159,13 @@ def lag_features(df: DataFrame, line: Timeline, energy: str, prob: str, width: i
     return home_rows(data.withColumn(name, F.array(*cols)), "_idx")
 
 
+def with_size(df: DataFrame, line: Timeline) -> DataFrame:
+    """Rows with their position ``_i`` in their key and the key's number of rows ``_n``."""
+    indexed = staged(row_index(df, line, "_i"))
+    sizes = indexed.groupBy(*line.key).agg((F.max("_i") + 1).alias("_n"))
+    return spread(indexed, line, sizes) if line.key else indexed.crossJoin(F.broadcast(sizes))  # one row
+
+
 def sequence_windows(
     df: DataFrame, line: Timeline, payload: Column, length: int = 64, stride: int = 16, drop_short: bool = False
 ) -> DataFrame:
@@ -168,12 +176,7 @@ def sequence_windows(
     more than ``length`` rows.
     """
     key = list(line.key)
-    indexed = row_index(df, line, "_i")
-    sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    if key:
-        indexed = spread(indexed, line, sizes, base=df)
-    else:
-        indexed = indexed.crossJoin(sizes)  # one row
+    indexed = with_size(df, line)
     count = F.greatest(F.lit(1), F.floor((F.col("_n") - length) / stride)).cast("long")
     first = F.greatest(F.lit(0), F.ceil((F.col("_i") - (length - 1)) / stride)).cast("long")
     last = F.floor(F.col("_i") / stride).cast("long")
@@ -199,7 +202,7 @@ def best_segment(df: DataFrame, line: Timeline, value: str, length: int, step: i
     frame = window.rowsBetween(0, length - 1)
     sums = data.withColumn("_sum", F.sum(value).over(frame)).filter(F.col("_home") & (F.col("_idx") % step == 0))
     sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    sums = sums.join(sizes, key) if key else sums.crossJoin(sizes)
+    sums = sums.join(sizes, key) if key else sums.crossJoin(F.broadcast(sizes))
     tried = (F.col("_idx") < F.col("_n") - length) & (F.col("_sum") > 0)
     best = F.max(F.when(tried, F.struct(F.col("_sum").alias("s"), (-F.col("_idx")).alias("i"))))
     out = sums.groupBy(*key).agg(best.alias("_b"))
@@ -227,9 +230,7 @@ def round_robin(df: DataFrame, parts: int, line: Timeline, name: str = "part") -
 
 def tail_split(df: DataFrame, line: Timeline, train_share: float = 0.85) -> DataFrame:
     """First share of rows by position is training, the rest validation."""
-    indexed = row_index(df, line, "_i")
-    sizes = df.groupBy(*line.key).agg(F.count(F.lit(1)).alias("_n"))
-    out = spread(indexed, line, sizes, base=df) if line.key else indexed.crossJoin(sizes)
+    out = with_size(df, line)
     return out.select(*df.columns, (F.col("_i") < F.floor(F.col("_n") * train_share)).alias("is_train"))
 
 
@@ -267,12 +268,13 @@ def watch_sessions(df: DataFrame, cfg: Config, trigger: Column, keep: Column, li
     t = line.order[0]
     key = list(line.key)
     base = df.select(*line.key, *line.order, trigger.alias("_on"), keep.alias("_keep"))
-    data = previous(base, line, {"_was": F.col("_on")})
+    data = staged(previous(base, line, {"_was": F.col("_on")}))
     starts = F.col("_on") & ~F.coalesce(F.col("_was"), F.lit(False))
     data = running(data, line, {"_run": ("max", F.when(starts, F.col(t)))})
     armed = F.col("_on") & (F.col(t) - F.col("_run") >= F.lit(cfg.span(cfg.watch_trigger_s)))
     first = data.filter(armed).groupBy(*key).agg(F.min(line.position()).alias("_start"))
-    after = spread(base, line, first).filter(line.position() > F.col("_start"))
+    first = staged(first)
+    after = staged(spread(base, line, first).filter(line.position() > F.col("_start")))
     after = running(after, line, {"_seen": ("max", F.when(F.col("_keep"), F.col(t)))})
     last_seen = F.greatest(F.col("_seen"), F.col("_start")[t])
     lost = ~F.col("_keep") & (F.col(t) - last_seen >= F.lit(cfg.span(cfg.watch_loss_s)))

@@ -438,12 +438,13 @@ def _(spark, sf):
 
 
 # Archives: ten sessions (orders) each.
-ASSIGN = f"""{SESS}, asg AS (SELECT session_id, duration_seconds, size_bytes, coalesce(total_video_frames, 0) AS frames, (row_number() OVER (ORDER BY session_id) - 1) // 10 AS chunk_id FROM sess)"""
+ASSIGN = f"""{SESS}, asg AS (SELECT 'session_' || session_id AS session_id, duration_seconds, size_bytes, coalesce(total_video_frames, 0) AS frames, (row_number() OVER (ORDER BY 'session_' || session_id) - 1) // 10 AS chunk_id FROM sess)"""
 
 
 def _assigned(spark, sf):
     rows = _sessions(spark, sf).withColumn("frames", F.coalesce("total_video_frames", F.lit(0)))
-    return listing.chunk_assignment(rows, Timeline((), ("session_id",), 1000))
+    rows = rows.withColumn("session_id", F.concat(F.lit("session_"), F.col("session_id").cast("string")))
+    return listing.chunk_assignment(rows, Timeline((), ("session_id",), 1))
 
 
 @query("chunk_assignment", f"WITH {ASSIGN} SELECT session_id, chunk_id FROM asg")

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinetable.config import Config
-from kinetable.operators import joins, windows
-from kinetable.operators.ordered import Timeline, row_index, scan
+from kinetable.operators import joins, listing, windows
+from kinetable.operators.ordered import Timeline, positions, row_index, scan
 from kinetable.operators.quantiles import exact_quantiles
 from kinetable.operators.vectors import median_vector, wide_vector_stats
 
@@ -122,12 +122,27 @@ def test_exact_quantiles(spark, monkeypatch, accuracy):
         np.testing.assert_allclose(out.loc[k].to_numpy(), np.percentile(g["x"], [5, 50, 90]), rtol=1e-12)
 
 
-@pytest.mark.parametrize("limit", [1000, 3])
-def test_median_vector_both_ways(spark, limit):
+def test_positions_of_names(spark):
+    rng = np.random.default_rng(9)
+    names = sorted({f"session_{i}" for i in rng.integers(0, 10**6, 500)})
+    data = spark.createDataFrame([(n,) for n in names], "name string").repartition(3)
+    assert {r.name: r.idx for r in positions(data, ["name"], rows=70).collect()} == {n: i for i, n in enumerate(names)}
+    assert positions(data.limit(0), ["name"]).collect() == []
+    chunks = listing.chunk_assignment(data, Timeline((), ("name",), 1), size=10)
+    assert {r.name: r.chunk_id for r in chunks.collect()} == {n: i // 10 for i, n in enumerate(names)}
+
+
+def test_median_vector_of_ragged_vectors_with_nulls(spark):
+    rows = [(1, [1.0, 2.0]), (1, [3.0, None]), (1, [5.0, 6.0]), (2, [None, None]), (2, [4.0]), (3, None), (4, [])]
+    out = {r.k: r["median"] for r in median_vector(spark.createDataFrame(rows, "k int, v array<double>"), ["k"], "v").collect()}
+    assert out == {1: [3.0, 4.0], 2: [4.0, None], 4: []}
+
+
+def test_median_vector(spark):
     rng = np.random.default_rng(5)
     data = pd.DataFrame({"k": rng.integers(0, 3, 40), "v": list(rng.normal(size=(40, 200)))})
     frame = spark.createDataFrame(data.assign(v=[r.tolist() for r in data["v"]]))
-    out = median_vector(frame, ["k"], "v", limit=limit).toPandas().set_index("k")
+    out = median_vector(frame, ["k"], "v").toPandas().set_index("k")
     for k, g in data.groupby("k"):
         np.testing.assert_allclose(out.loc[k, "median"], np.median(np.stack(g["v"]), axis=0), rtol=1e-12)
 
