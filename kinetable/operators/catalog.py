@@ -109,7 +109,7 @@ def queue_summary(queue: DataFrame, report: DataFrame, mb_per_hour: float = 490.
         *[F.count_if(status == s).alias(f"queue_{s}") for s in ("pending", "in_progress", "failed")],
     )
     hours = F.col("total_duration_seconds") / 3600.0
-    return counts.crossJoin(report).select(
+    return counts.crossJoin(F.broadcast(report)).select(
         *counts.columns,
         F.col("total_sessions").alias("dataset_sessions"),
         F.col("total_frames").alias("dataset_frames"),
@@ -305,7 +305,7 @@ def sync_queue(queue: DataFrame, urls: DataFrame, registry: DataFrame, order: st
     )
     # New items follow the existing ones.
     top = queue.agg(F.coalesce(F.max("pos") + 1, F.lit(0)).alias("_top"))
-    added = added.crossJoin(top).withColumn("pos", F.col("pos") + F.col("_top")).drop("_top")
+    added = added.crossJoin(F.broadcast(top)).withColumn("pos", F.col("pos") + F.col("_top")).drop("_top")
     return queue.unionByName(added, allowMissingColumns=True)
 
 
@@ -378,8 +378,9 @@ def queue_stats(events: DataFrame) -> DataFrame:
 
 
 def stale_locks(locks: DataFrame, now: Column, worker: str, stale_s: float = 1200.0) -> DataFrame:
-    """Locks that are too old, or left by this worker."""
-    return locks.filter((now - F.col("last_heartbeat") > stale_s) | F.col("worker_id").startswith(worker))
+    """Locks that are too old, or left by this worker; one without a heartbeat counts as beating at 0."""
+    old = now - F.coalesce("last_heartbeat", F.lit(0.0)) > stale_s
+    return locks.filter(old | F.coalesce(F.col("worker_id").startswith(worker), F.lit(False)))
 
 
 def completed_totals(completed: DataFrame) -> DataFrame:
@@ -425,7 +426,7 @@ def session_inventory(sessions: DataFrame, n: int = 8) -> DataFrame:
     """The first ``n`` sessions by name with the totals over all of them."""
     totals = sessions.agg(F.count(F.lit(1)).alias("total_sessions"), F.sum("frames").alias("total_frames"))
     shown = sessions.orderBy("session_id").limit(n)
-    return shown.crossJoin(totals).withColumn("size_mb", text.megabytes(F.col("size_bytes"))).drop("size_bytes")
+    return shown.crossJoin(F.broadcast(totals)).withColumn("size_mb", text.megabytes(F.col("size_bytes"))).drop("size_bytes")
 
 
 def top_by_key(df: DataFrame, key: list[str], order: list[Column], n: int) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from kinetable.anatomy import CHANNELS, channel_weights
 from kinetable.operators.ordered import SLICE, Timeline, home_rows, row_index, with_halo
 
-BUCKETS = 65_536
+#: Bits of the hash that each of the two counts resolves.
+BITS = 16
 
 
 def hash_rank(key: Sequence[str], seed: int) -> Column:
@@ -24,31 +25,39 @@ def hash_rank(key: Sequence[str], seed: int) -> Column:
 def split(df: DataFrame, key: Sequence[str], ratio: float = 0.15, seed: int = 42, by: Sequence[str] | None = None) -> DataFrame:
     """Add ``is_train``; exactly ``int(N * ratio)`` rows are validation rows.
 
-    Rows are ranked by a hash of ``key``.  Counts per hash bucket find the one bucket
-    the border falls into, and only its rows are ordered.  With ``by`` the columns
-    of ``by`` (for example the session) are split instead, and rows follow them.
+    Rows are ranked by a hash of ``key``.  Counts by the hash's first bits, then by the
+    next ones within one bucket, find the border up to some 2 ** -32 of the rows, and only
+    those are ordered.  With ``by`` the columns of ``by`` (for example the session) are
+    split instead, and rows follow them.
     """
     if by is not None:
         groups = split(df.select(*by).distinct(), by, ratio, seed)
         return df.join(groups, list(by))
-    width = (1 << 60) // BUCKETS
-    ranked = df.withColumn("_h", hash_rank(key, seed)).withColumn("_b", F.floor(F.col("_h") / width).cast("long"))
-    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranked.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-    total = counts.agg(F.floor(F.coalesce(F.sum("_c"), F.lit(0)) * ratio).alias("_want"))
-    # At most BUCKETS rows pass through this window.
-    border = counts.withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0))).crossJoin(total)
-    border = border.filter((F.col("_before") <= F.col("_want")) & (F.col("_want") < F.col("_before") + F.col("_c")))
-    border = border.select(F.col("_b").alias("_edge"), (F.col("_want") - F.col("_before")).alias("_take"))
-    # The last validation row of the border bucket: the only rows that are ordered.
+    ranked = df.withColumn("_h", hash_rank(key, seed))
+    keys = ranked.select("_h", *key)
+
+    def border(rows: DataFrame, want: DataFrame, level: int) -> DataFrame:
+        """One row: prefix of the hash that holds the wanted rank, and the rank inside it."""
+        counts = rows.groupBy(F.shiftright("_h", 60 - level * BITS).alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+        upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 ** BITS rows
+        counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0))).crossJoin(F.broadcast(want))
+        hit = (F.col("_before") <= F.col("_want")) & (F.col("_want") < F.col("_before") + F.col("_c"))
+        return counts.filter(hit).select(F.col("_b").alias("_edge"), (F.col("_want") - F.col("_before")).alias("_want"))
+
+    total = keys.agg(F.floor(F.count(F.lit(1)) * ratio).alias("_want"))
+    first = border(keys, total, 1)
+    inner = keys.join(F.broadcast(first.select("_edge")), F.shiftright("_h", 60 - BITS) == F.col("_edge"))
+    second = border(inner.drop("_edge"), first.select("_want"), 2)
+    # The last validation row of the border: the only rows that are ordered.
     place = F.struct("_h", *key)
-    order = Window.orderBy("_h", *key)
-    edge = ranked.select("_h", "_b", *key).join(F.broadcast(border), F.col("_b") == F.col("_edge"))
-    last = edge.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") == F.col("_take"))
-    last = last.agg(F.max(place).alias("_last"))
-    placed = ranked.crossJoin(border).crossJoin(last)  # one row each
+    edge = keys.join(F.broadcast(second), F.shiftright("_h", 60 - 2 * BITS) == F.col("_edge"))
+    last = edge.withColumn("_r", F.row_number().over(Window.orderBy("_h", *key))).filter(F.col("_r") == F.col("_want"))
+    # One row even without a border, which is beyond the last row if all rows are validation rows.
+    bounds = second.agg(F.max("_edge").alias("_edge")).crossJoin(F.broadcast(last.agg(F.max(place).alias("_last"))))
+    placed = ranked.crossJoin(F.broadcast(bounds))  # one row
+    prefix = F.shiftright("_h", 60 - 2 * BITS)
     at_edge = F.coalesce(place > F.col("_last"), F.lit(True))
-    is_train = F.when(F.col("_b") == F.col("_edge"), at_edge).otherwise(F.col("_b") > F.col("_edge"))
+    is_train = F.when(F.col("_edge").isNull(), False).when(prefix == F.col("_edge"), at_edge).otherwise(prefix > F.col("_edge"))
     return placed.select(*df.columns, is_train.alias("is_train"))
 
 
@@ -58,7 +67,7 @@ def eval_segment(df: DataFrame, line: Timeline, is_val: Column, frames: int = 40
     bounds = rows.agg(F.count_if("_val").alias("_n"), F.min(F.when(F.col("_val"), F.col("_i"))).alias("_from"))
     length = F.when(F.col("_n") < spare, 0).otherwise(F.least(F.lit(frames), F.col("_n") - spare))
     inside = (F.col("_i") >= F.col("_from")) & (F.col("_i") < F.col("_from") + F.col("_len"))
-    return rows.crossJoin(bounds.withColumn("_len", length)).filter(inside).select(*df.columns)
+    return rows.crossJoin(F.broadcast(bounds.withColumn("_len", length))).filter(inside).select(*df.columns)
 
 
 def _total(values: Column) -> Column:

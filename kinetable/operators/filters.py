@@ -30,11 +30,15 @@ def filter_frames(
 
 
 def get_sample(df: DataFrame, wanted: DataFrame, names: Sequence[str] = (), values: Sequence[str] = (), key=("session_id", "frame_idx")) -> DataFrame:
-    """The frames listed in ``wanted``, their channel arrays zipped with the names to maps."""
+    """The frames listed in ``wanted``, their channel arrays zipped with the names to maps.
+
+    The shorter of names and values decides how many channels a map has.
+    """
     rows = df.join(wanted.select(*key).distinct(), list(key), "left_semi")
     labels = F.array(*[F.lit(n) for n in names])
     for column in values:
-        rows = rows.withColumn(column, F.map_from_arrays(labels, F.slice(column, 1, len(names))))
+        both = F.least(F.size(column), F.lit(len(names)))
+        rows = rows.withColumn(column, F.map_from_arrays(F.slice(labels, F.lit(1), both), F.slice(column, F.lit(1), both)))
     return rows
 
 

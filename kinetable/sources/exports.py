@@ -46,7 +46,7 @@ def animation_documents(df: DataFrame, names: Sequence[str] = CHANNELS, values:
 def animation_metadata(df: DataFrame, accuracy: DataFrame, channels: int = len(CHANNELS), fps: float = 30.0) -> DataFrame:
     """The one-row header of an animation: rate, length, error, correlation."""
     total = df.agg(F.count(F.lit(1)).alias("total_frames"))
-    return total.crossJoin(accuracy.select("mae", F.col("corr_jaw").alias("jaw_correlation"))).select(
+    return total.crossJoin(F.broadcast(accuracy.select("mae", F.col("corr_jaw").alias("jaw_correlation")))).select(
         F.lit(int(fps)).alias("fps"), "total_frames", (F.col("total_frames") / fps).alias("duration_sec"),
         F.lit(channels).alias("blendshape_count"), "mae", "jaw_correlation",
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinetable.anatomy import ANCHORS, CHANNELS, channel_weights, mirror_index
 from kinetable.config import Config
 from kinetable.functions import audio, text, vision
-from kinetable.operators import alignment, evaluation, features
+from kinetable.operators import alignment, catalog, evaluation, features, filters
 
 CFG = Config()
 
@@ -202,3 +202,48 @@ def test_blur_score(spark):
     at = lambda y, x: crop[abs(y) if y < 12 else 22 - y, abs(x) if x < 15 else 28 - x]
     edges = [at(y - 1, x) + at(y + 1, x) + at(y, x - 1) + at(y, x + 1) - 4 * at(y, x) for y in range(12) for x in range(15)]
     assert out[0] == pytest.approx(np.var(edges)) and out[1] == 0.0 and out[2] == 0.0
+
+
+def test_slices_keep_their_offsets_over_gaps_and_repeated_frames(spark):
+    clips = spark.createDataFrame([("s", 0, [1.0] * 4), ("s", 8, [2.0] * 4), ("s", 2, [9.0] * 3), ("other", 0, [])], "session_id string, offset long, samples array<double>")
+    frames = spark.createDataFrame([("s", 1, 0.0), ("s", 1, 0.0), ("s", 2, 0.5), ("none", 3, 0.0)], "session_id string, frame_idx long, t double")
+    for block in (3, 100):
+        got = features.slice_audio(frames, clips, rate=12, fps=1.0, block=block).collect()
+        rows = sorted((r.session_id, r.frame_idx, list(r.samples)) for r in got)
+        first = [1.0] * 4 + [9.0] + [0.0] * 3 + [2.0] * 4
+        assert rows == [("none", 3, [0.0] * 12), ("s", 1, first), ("s", 1, first), ("s", 2, first[6:] + [0.0] * 6)]
+
+
+def test_frames_without_a_recording_are_silent(spark):
+    frames = spark.createDataFrame([("a", 0, 0.1), ("b", 1, 0.1)], "session_id string, frame_idx long, t double")
+    clips = spark.createDataFrame([("a", 0, [0.5, -0.5] * 4000)], "session_id string, offset long, samples array<double>")
+    out = {r.session_id: r.spectral for r in features.log_mel_sequence(frames, clips).collect()}
+    assert set(out["b"]) == {0.0} and max(out["a"]) > 0 and len(out["b"]) == 64
+
+
+def test_samples_with_fewer_values_than_names(spark):
+    rows = spark.createDataFrame([("s", 1, [0.1, 0.2]), ("s", 2, [0.1, 0.2, 0.3, 0.4]), ("s", 3, None)], "session_id string, frame_idx long, v array<double>")
+    got = {r.frame_idx: r.v for r in filters.get_sample(rows, rows, ["a", "b", "c"], ["v"]).collect()}
+    assert got == {1: {"a": 0.1, "b": 0.2}, 2: {"a": 0.1, "b": 0.2, "c": 0.3}, 3: None}
+
+
+def test_locks_without_heartbeat_are_stale(spark):
+    locks = spark.createDataFrame([("k", "w1", None), ("l", "w2", 990.0), ("m", "me-1", 999.0), ("n", None, 999.0)], "key string, worker_id string, last_heartbeat double")
+    assert {r.key for r in catalog.stale_locks(locks, F.lit(1000.0), "me", 100.0).collect()} == {"k", "m"}
+
+
+def test_split_counts_are_exact(spark):
+    rows = spark.range(3_000).select((F.col("id") % 7).alias("s"), "id")
+    for ratio in (0.0, 0.15, 1.0):
+        out = evaluation.split(rows, ["s", "id"], ratio)
+        assert out.filter(~F.col("is_train")).count() == int(3_000 * ratio) and out.count() == 3_000
+    assert evaluation.split(rows.limit(0), ["s", "id"]).count() == 0
+
+
+def test_frame_rms_of_pieces_equals_that_of_the_whole(spark):
+    x = np.random.default_rng(3).normal(0, 0.2, 103).tolist()
+    whole = spark.createDataFrame([("s", x)], "session_id string, samples array<double>")
+    pieces = spark.createDataFrame([("s", o, x[o : o + 23]) for o in range(0, 103, 23)], "session_id string, offset long, samples array<double>")
+    a, b = ({r.frame: r.rms for r in features.frame_rms(d, 10).collect()} for d in (whole, pieces))
+    assert set(a) == set(b) == set(range(10)) and max(a.values()) == 1.0
+    assert all(a[i] == pytest.approx(b[i], rel=1e-12) for i in a)
