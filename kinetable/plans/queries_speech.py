@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kinetable.operators import filters, speech, windows
 from kinetable.operators.ordered import Timeline, row_index
 from kinetable.plans.bindings import (
-    CFG, DAY_US, EV, EV_GLOBAL, FACE_LINE, FACES, LINE, ev_faces, ev_frames, micros, table,
+    CFG, DAY_US, EV, EV_GLOBAL, FACE_LINE, FACES, LINE, MULTI_US, ev_faces, ev_frames, micros, table,
 )
 from kinetable.plans.registry import query
 from kinetable.plans.speech_report import STATES, speech_report
@@ -156,6 +156,15 @@ def _(spark, sf):
     return _gated(spark, sf).select("session_id", "frame_idx", "speaker_probability")
 
 
+@query("narration_without_face", f"""WITH {EV} SELECT a.session_id, a.frame_idx, a.x > 100 AS is_narration FROM ev a WHERE NOT EXISTS (SELECT 1 FROM ev f WHERE f.session_id = a.session_id AND f.t // {MULTI_US} = a.t // {MULTI_US} AND f.event_type <> 'view') AND a.event_type = 'view'""")
+def _(spark, sf):
+    """Views are audio slices; a half day without any other event of the user is one without a face."""
+    rows = ev_frames(spark, sf).withColumn("half", F.floor(F.col("t") / MULTI_US))
+    audio = rows.filter("event_type = 'view'").withColumn("is_speech", F.col("x") > 100)
+    out = speech.narration_without_face(rows.filter("event_type <> 'view'"), audio, on=("session_id", "half"))
+    return out.select("session_id", "frame_idx", "is_narration")
+
+
 @query("narration", f"""WITH {GATE} SELECT session_id, frame_idx, state = 'SILENCE' AND event_type = 'view' AS is_narration FROM gate""")
 def _(spark, sf):
     return _gated(spark, sf).select("session_id", "frame_idx", "is_narration")
@@ -273,7 +282,7 @@ def _(spark, sf):
 @query("round_robin", """SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) % 7 AS part FROM orders""")
 def _(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", micros("o_orderdate").alias("t"))
-    line = Timeline((), ("t", "o_orderkey"), 30 * DAY_US)
+    line = Timeline((), ("t", "o_orderkey"), 1)
     return windows.round_robin(orders, 7, line).select("o_orderkey", "part")
 
 

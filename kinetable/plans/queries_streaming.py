@@ -86,16 +86,17 @@ def _(spark, sf):
     return live.to_table(live.stream_frames(stream, CFG, smooth="points")).drop("points", "smooth_points")
 
 
-@query("live_status", f"""WITH {EV}, l AS (SELECT session_id, arg_max(event_type, (t, frame_idx)) AS last, count(*) FILTER (WHERE event_type IN ('purchase', 'click')) AS session_frames FROM ev GROUP BY session_id)
-  SELECT session_id, session_frames, CASE last WHEN 'purchase' THEN 'ACTIVE_SPEECH' WHEN 'click' THEN 'CONVERSATIONAL_PAUSE' ELSE 'SILENCE' END AS conversational_state, last IN ('purchase', 'click') AS is_recording,
+@query("live_status", f"""WITH {EV}, l AS (SELECT session_id, arg_max(event_type, (t, frame_idx)) AS last, count(*) FILTER (WHERE event_type IN ('purchase', 'click')) AS session_frames,
+  count(*) FILTER (WHERE event_type = 'purchase') * 0.25::DOUBLE AS speech_seconds, count(*) FILTER (WHERE event_type = 'click') * 0.25::DOUBLE AS pause_seconds, 1::INTEGER AS faces_detected, 4.0::DOUBLE AS fps FROM ev GROUP BY session_id)
+  SELECT session_id, session_frames, speech_seconds, pause_seconds, faces_detected, fps, CASE last WHEN 'purchase' THEN 'ACTIVE_SPEECH' WHEN 'click' THEN 'CONVERSATIONAL_PAUSE' ELSE 'SILENCE' END AS conversational_state, last IN ('purchase', 'click') AS is_recording,
   CASE last WHEN 'purchase' THEN '[*] RECORDING: ACTIVE SYLLABLE SPEECH' WHEN 'click' THEN '[*] RECORDING: CONVERSATIONAL PAUSE / IDLE' ELSE '[-] WAITING: SILENCE / LISTENER DETECTED (Audio Gate Closed)' END AS badge FROM l""")
 def _(spark, sf):
     frames = _live(spark, sf).withColumns({
-        "conversational_state": F.coalesce("state", F.lit("SILENCE")), "gate_active": F.col("event_type").isin(*list(ROLE_OF_EVENT)[:2]), "n_faces": F.lit(1), "dt": F.lit(1.0)})
+        "conversational_state": F.coalesce("state", F.lit("SILENCE")), "gate_active": F.col("event_type").isin(*list(ROLE_OF_EVENT)[:2]), "n_faces": F.lit(1), "dt": F.lit(0.25)})
     base = f"{checkpoint_folder(spark)}/status-{uuid.uuid4().hex}"
     feeds.stream_status(frames, f"{base}/rows", f"{base}/progress").awaitTermination()
-    out = spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/rows")
-    return out.select("session_id", "session_frames", "conversational_state", "is_recording", "badge")
+    out = feeds.status_table(spark, f"{base}/rows")
+    return out.select("session_id", "session_frames", "speech_seconds", "pause_seconds", "faces_detected", "fps", "conversational_state", "is_recording", "badge")
 
 
 @query("stream_queue", f"""WITH {SPELL} SELECT DISTINCT coalesce(CASE WHEN regexp_full_match(trim(spelling), '[0-9A-Za-z_-]{{11}}') THEN trim(spelling) ELSE nullif(regexp_extract(trim(spelling), '{text.ID_PATTERN}', 1), '') END, trim(spelling)) AS key FROM urls""")

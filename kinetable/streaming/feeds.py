@@ -86,9 +86,21 @@ def live_status(frames: DataFrame) -> DataFrame:
 
 
 def stream_status(frames: DataFrame, path: str, progress: str):
-    """Write the status rows of every micro-batch under ``path``."""
+    """Keep the status of every session under ``path``; Spark's state holds the totals of all batches.
+
+    A batch writes the rows of the sessions it changed; :func:`status_table` reads the newest.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        live_status(batch).write.mode("overwrite").parquet(f"{path}/batch-{number}")
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch-{number}")
+
+    writer = live_status(frames).writeStream.outputMode("update").foreachBatch(write)
+    return writer.option("checkpointLocation", progress).trigger(availableNow=True).start()
+
 
-    return frames.writeStream.foreachBatch(write).option("checkpointLocation", progress).trigger(availableNow=True).start()
+def status_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest status row of every session."""
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    kept = [c for c in rows.columns if c != "_batch"]
+    newest = rows.groupBy("session_id").agg(F.max_by(F.struct(*kept), "_batch").alias("s"))
+    return newest.select("s.*")

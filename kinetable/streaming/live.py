@@ -49,8 +49,10 @@ class SessionState(StatefulProcessor):
 
 def keyed(stream: DataFrame, step: Callable, order: Sequence[str], start: dict, added: Sequence[tuple[str, T.DataType]],
           key: str = "session_id", keep: Sequence[str] | None = None) -> DataFrame:
-    """Apply a step to a stream: its rows (or ``keep``) plus the ``added`` columns."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    """Apply a step to a stream: its rows (or ``keep``) plus the ``added`` columns.
+
+    Start the stream with :func:`to_table`, or under a session whose state store is STORE.
+    """
     names = stream.columns if keep is None else list(keep)
     schema = T.StructType([f for f in stream.schema if f.name in names] + [T.StructField(n, t) for n, t in added])
 
@@ -69,9 +71,15 @@ def to_table(stream: DataFrame, folder: str | None = None) -> DataFrame:
     ``folder`` keeps data and progress between calls, so that a later call continues.
     """
     spark = stream.sparkSession
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
     base = folder or f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.format("parquet").option("path", f"{base}/data").option("checkpointLocation", f"{base}/progress")
-    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    spark.conf.set(setting, STORE)
+    try:
+        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
 
 

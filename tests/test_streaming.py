@@ -120,3 +120,13 @@ def test_cap(spark, tmp_path, limit):
     out = live.to_table(live.stream_cap(stream, "dt", *limit))
     batch = windows.cap_session(spark.createDataFrame(rows), CFG, F.col("dt"), *limit)
     assert sorted(r.frame_idx for r in out.collect()) == sorted(r.frame_idx for r in batch.collect())
+
+
+def test_status_adds_up_over_batches(spark, tmp_path):
+    rows = pd.DataFrame({"session_id": ["s"] * 6 + ["u"], "t": np.arange(7) * 1.0, "frame_idx": np.arange(7), "dt": 0.5, "conversational_state": ["ACTIVE_SPEECH"] * 4 + ["CONVERSATIONAL_PAUSE"] * 3, "gate_active": True, "n_faces": 1})
+    parts(spark, rows, str(tmp_path / "in"), [2.5, 5.5])
+    stream = spark.readStream.schema(spark.createDataFrame(rows).schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    feeds.stream_status(stream, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
+    got = {r.session_id: r for r in feeds.status_table(spark, str(tmp_path / "out")).collect()}
+    assert (got["s"].session_frames, got["s"].speech_seconds, got["s"].pause_seconds, got["s"].conversational_state) == (6, 2.0, 1.0, "CONVERSATIONAL_PAUSE")
+    assert got["u"].session_frames == 1 and got["s"].fps == 2.0
