@@ -1,17 +1,22 @@
-"""Session helpers: where reliable checkpoints go."""
+"""Session helpers: where reliable checkpoints go, and how executors get this package."""
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_staged: dict[str, list[str]] = {}
+_shipped: set[str] = set()
+
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is only ever chosen for a local master (tests).
+    A machine-local folder is only ever chosen for a local master that names none.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -19,7 +24,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
     context.setCheckpointDir(folder)
@@ -38,6 +43,30 @@ def staged(df: DataFrame) -> DataFrame:
     For inputs that are expensive to produce and read several times: unlike a
     checkpoint, a later reader still reads only the columns it needs.
     """
-    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables staged so far, once the results that read them are written."""
+    paths = _staged.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once, unless they have it on PYTHONPATH."""
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.realpath(__file__)))
+    known = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if context.applicationId in _shipped or root in known:
+        return
+    _shipped.add(context.applicationId)
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-package-"), "kinetable")
+    context.addPyFile(shutil.make_archive(archive, "zip", root, "kinetable"))
