@@ -36,3 +36,45 @@ SELECT doc_id, size, source_size, target,
     (CASE WHEN source_size > 0 THEN budget // source_size * size + greatest(0, least(size, budget - budget // source_size * source_size - (upto - size))) ELSE 0 END)::BIGINT AS taken
 FROM d
 """
+
+
+def _licences() -> str:
+    """Cosines of passages to the templates, then the nearest folder above with a licence."""
+    from kinetable.llm.licenses import ANCHORS, TEMPLATES
+
+    values = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
+
+    def anchored(text: str) -> str:
+        return "(" + " OR ".join(f"contains(lower({text}), '{a}')" for a in ANCHORS) + ")"
+
+    def terms(text: str) -> str:
+        return f"regexp_extract_all(lower({text}), '([a-z0-9]+(?:[.-][a-z0-9]+)*)', 1)"
+
+    return rf"""
+WITH tpl(template, license, body) AS (VALUES {values}),
+tw AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest({terms('body')}) AS term FROM tpl) GROUP BY ALL),
+d AS (SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', CASE WHEN doc_id % 1000 = 0 THEN concat_ws('/', source, lang) ELSE concat_ws('/', source, lang, CAST(doc_id // 100 AS VARCHAR)) END,
+    CASE WHEN doc_id % 100 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END) AS path FROM documents),
+n AS (SELECT count(*) AS n FROM d),
+df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({terms('text')}) AS term FROM d) WHERE term IN (SELECT term FROM tw) GROUP BY term),
+idf AS (SELECT term, ln((1 + n) / (1.0::DOUBLE + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM tw) LEFT JOIN df USING (term) CROSS JOIN n),
+tv AS (SELECT template, license, term, tf * idf AS w FROM tw JOIN idf USING (term)),
+tn AS (SELECT template, sqrt(sum(w * w)) AS norm FROM tv GROUP BY template),
+ps AS (SELECT doc_id, unnest(list_distinct(list_concat(string_split(text, chr(10)), string_split(regexp_replace(replace(text, chr(10), chr(1)), '([.!?;])\s+', '\1' || chr(1), 'g'), chr(1)),
+    string_split(regexp_replace(text, '\n\s*\n', chr(1), 'g'), chr(1))))) AS p FROM d WHERE {anchored('text')}),
+pw AS (SELECT doc_id, p, term, count(*) AS tf FROM (SELECT doc_id, p, unnest({terms('p')}) AS term FROM ps WHERE {anchored('p')}) GROUP BY ALL),
+pv AS (SELECT doc_id, p, term, tf * coalesce(idf, ln(1.0::DOUBLE + n) + 1) AS w FROM pw LEFT JOIN idf USING (term) CROSS JOIN n),
+pn AS (SELECT doc_id, p, sqrt(sum(w * w)) AS length FROM pv GROUP BY ALL),
+s AS (SELECT doc_id, license, max(score) AS score FROM (SELECT pv.doc_id, tv.license, round(sum(pv.w * (tv.w / norm)) / any_value(length), 6) AS score
+    FROM pv JOIN tv USING (term) JOIN tn USING (template) JOIN pn ON pn.doc_id = pv.doc_id AND pn.p = pv.p GROUP BY pv.doc_id, pv.p, tv.template, tv.license) WHERE score >= 0.6 GROUP BY ALL),
+own AS (SELECT doc_id, arg_min(license, (-score, license)) AS license, max(score) AS score FROM s GROUP BY doc_id),
+f AS (SELECT d.doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, license, score FROM d LEFT JOIN own USING (doc_id)),
+decl AS (SELECT dir, arg_min(license, (-score, license)) AS license FROM f WHERE regexp_matches(path, '(^|/)LICENSE$') AND license IS NOT NULL GROUP BY dir),
+inh AS (SELECT f.doc_id, arg_max(decl.dir, length(decl.dir)) AS from_dir, arg_max(decl.license, length(decl.dir)) AS inherited
+    FROM f JOIN decl ON f.dir = decl.dir OR starts_with(f.dir, decl.dir || '/') WHERE f.license IS NULL GROUP BY f.doc_id)
+SELECT doc_id, path, coalesce(license, inherited) AS license, score, CASE WHEN license IS NOT NULL THEN 'own' WHEN inherited IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin, from_dir
+FROM f LEFT JOIN inh USING (doc_id)
+"""
+
+
+SQL["op3_licenses"] = _licences()

@@ -282,7 +282,7 @@ def test_pipeline(spark):
         assert stage(spark, frame.limit(0), folder).collect() == []
 
 
-@pytest.mark.parametrize("name", ["op6_exact_dedup", "op7_line_dedup", "op9_mixing"])
+@pytest.mark.parametrize("name", ["op3_licenses", "op6_exact_dedup", "op7_line_dedup", "op9_mixing"])
 def test_queries_equal_sql(spark, name):
     from tools import compare
 
