@@ -92,12 +92,11 @@ def highest_entropy(value: Column, window: int) -> Column:
     With S the sum of c log2 c over the counts c in the window, the entropy is
     log2(window) - S / window; a step changes S by the terms of two counts.
     """
-    chars = F.split(value, "")
 
     def term(count: Column) -> Column:
         return F.when(count > 0, count * F.log2(F.greatest(count, F.lit(1)).cast("double"))).otherwise(0.0)
 
-    def step(state: Column, at: Column) -> Column:
+    def step(chars: Column, state: Column, at: Column) -> Column:
         new, old = F.get(chars, at), F.get(chars, at - window)
         # Characters between the one that leaves and the one that enters.
         begin = F.greatest(at - window + 1, F.lit(0))
@@ -111,8 +110,14 @@ def highest_entropy(value: Column, window: int) -> Column:
         return F.struct(total.alias("sum"), least.alias("least"))
 
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(1e18).alias("least"))
-    least = F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), start, step, lambda s: s["least"])
-    return F.log2(F.lit(float(window))) - least / window
+
+    def least(chars: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(chars) - 1)
+        return F.aggregate(places, start, lambda state, at: step(chars, state, at), lambda s: s["least"])
+
+    # The characters are bound to a lambda variable, so that they are split off once and not at each step.
+    sums = F.transform(F.array(F.split(value, "")), least)
+    return F.log2(F.lit(float(window))) - F.get(sums, F.lit(0)) / window
 
 
 def entropy_spans(text: Column, plain: Column, settings: Settings) -> Column:

@@ -156,7 +156,7 @@ def test_secret_spans(spark):
 
 
 def test_entropy_of_long_candidates(spark):
-    value = noise(3, "ABCDabcd0123+/", 5_000)
+    value = noise(3, "ABCDabcd0123+/", 40_000)
     docs = spark.createDataFrame([(1, value)], "doc_id long, text string")
     bits = docs.select(secrets.highest_entropy(F.col("text"), 20)).first()[0]
     assert math.isclose(bits, entropy(value), rel_tol=1e-9)
