@@ -193,7 +193,7 @@ def registry_totals(registry: DataFrame) -> DataFrame:
 
 def registry_rows(registry: DataFrame) -> DataFrame:
     """Text cells of the catalogue listing."""
-    seconds = F.col("total_duration_seconds")
+    seconds = F.col("total_duration_seconds").cast("double")
     video = F.col("video_id") != "N/A"
     return registry.select(
         "key",

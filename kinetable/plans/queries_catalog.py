@@ -80,11 +80,20 @@ def _(spark, sf):
     return _report(spark, sf).select("total_sessions", "total_frames", "total_size_bytes", *[F.bround(c, 2).alias(c) for c in ROUND])
 
 
-@query("milestones", f"""WITH {REPORT} SELECT {", ".join(f"round_even(least(100.0::DOUBLE, total_duration_seconds / {s}::DOUBLE * 100.0::DOUBLE), 6) AS {n}_pct, total_duration_seconds >= {s} AS is_{n}_ready" for n, s in catalog.TARGETS.items())},
-  CASE WHEN total_duration_seconds >= 3600000 THEN format('READY: 1,000h SCALE DATASET COMPLETE ({{:.1f}}h)', total_duration_seconds / 3600) ELSE 'other' END AS readiness_label FROM rep""")
+# The report at its size, an eighth and a 512th of it, so that every label is met.
+SCALES = (1, 8, 512)
+
+
+@query("milestones", f"""WITH {REPORT}, sized AS (SELECT s AS scale, total_duration_seconds / s::DOUBLE AS total_duration_seconds FROM rep, (VALUES {", ".join(f"({s})" for s in SCALES)}) v(s)) SELECT scale, {", ".join(f"round_even(least(100.0::DOUBLE, total_duration_seconds / {s}::DOUBLE * 100.0::DOUBLE), 6) AS {n}_pct, total_duration_seconds >= {s} AS is_{n}_ready" for n, s in catalog.TARGETS.items())},
+  CASE WHEN total_duration_seconds >= 3600000 THEN format('READY: 1,000h SCALE DATASET COMPLETE ({{:.1f}}h)', round_even(total_duration_seconds / 3600, 1))
+  WHEN total_duration_seconds >= 360000 THEN format('PHASE 1 COMPLETE ({{:.1f}}h / 100h) - ADVANCING TO 1,000h TARGET', round_even(total_duration_seconds / 3600, 1))
+  ELSE format('PHASE 1 (100h TARGET): {{:.2f}}h / 100.0h ({{:.1f}}%) | {{:.1f}}h TO GO', round_even(total_duration_seconds / 3600, 2), round_even(least(100.0::DOUBLE, total_duration_seconds / 360000::DOUBLE * 100.0::DOUBLE), 1), round_even(greatest(0.0::DOUBLE, 100 - total_duration_seconds / 3600), 1)) END AS readiness_label FROM sized""")
 def _(spark, sf):
-    out = catalog.milestones(_report(spark, sf))
+    scaled = _report(spark, sf).withColumn("scale", F.explode(F.array(*[F.lit(s) for s in SCALES])))
+    scaled = scaled.withColumn("total_duration_seconds", F.col("total_duration_seconds") / F.col("scale"))
+    out = catalog.milestones(scaled)
     return out.select(
+        "scale",
         *[F.bround(f"{n}_pct", 6).alias(f"{n}_pct") for n in catalog.TARGETS], *[f"is_{n}_ready" for n in catalog.TARGETS], "readiness_label"
     )
 
@@ -200,9 +209,9 @@ def _(spark, sf):
 
 
 @query("registry_rows", f"""WITH {REG} SELECT key, replace(title, '|', '-') AS title, '[' || video_id || '](' || canonical_url || ')' AS link, '`' || session_count || '` sess (`' || substr(CAST(last_session AS VARCHAR), 1, 18) || '..`)' AS sessions,
-  format('{{:,}}', total_frames) AS frames FROM registry""")
+  format('{{:,}}', total_frames) AS frames, format('{{:.1f}}m ({{:.0f}}s)', round_even(total_duration_seconds::DOUBLE / 60, 1), round_even(total_duration_seconds::DOUBLE, 0)) AS duration FROM registry""")
 def _(spark, sf):
-    return catalog.registry_rows(registry_view(spark, sf)).drop("duration")
+    return catalog.registry_rows(registry_view(spark, sf))
 
 
 # Session metadata from page text: the description may hold the URL.
@@ -521,15 +530,18 @@ def _(spark, sf):
 
 
 @query("join_audio_positional", f"""WITH f AS (SELECT conv_id AS session_id, turn AS frame_idx FROM conversations), {EV},
-  a AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY t) - 1 AS slice_idx, CASE WHEN event_type = 'error' THEN NULL ELSE x END AS e, CASE WHEN event_type = 'click' THEN NULL ELSE level / 4.0::DOUBLE END AS p FROM ev)
-  SELECT f.session_id, f.frame_idx, CASE WHEN a.slice_idx IS NULL THEN 0.0 ELSE coalesce(e, 0.02::DOUBLE) END AS energy, CASE WHEN a.slice_idx IS NULL THEN 1.0::DOUBLE ELSE coalesce(p, 0.8::DOUBLE) END AS prob
+  a AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY t) - 1 AS slice_idx, CASE WHEN event_type = 'error' THEN NULL ELSE x END AS e, CASE WHEN event_type = 'click' THEN NULL ELSE level / 4.0::DOUBLE END AS p,
+    CASE WHEN event_type <> 'view' THEN list_transform(range(CASE WHEN level = 1 THEN 63 ELSE 64 END), lambda b: x) END AS s FROM ev)
+  SELECT f.session_id, f.frame_idx, CASE WHEN a.slice_idx IS NULL THEN 0.0 ELSE coalesce(e, 0.02::DOUBLE) END AS energy, CASE WHEN a.slice_idx IS NULL THEN 1.0::DOUBLE ELSE coalesce(p, 0.8::DOUBLE) END AS prob,
+    CASE WHEN len(s) = 64 THEN s ELSE list_transform(range(64), lambda b: 0.0::DOUBLE) END AS spectral
   FROM f LEFT JOIN a ON a.session_id = f.session_id AND a.slice_idx = f.frame_idx""")
 def _(spark, sf):
     frames = table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("frame_idx"))
     audio = windows.row_index(ev_frames(spark, sf), LINE, "slice_idx").select(
         "session_id", "slice_idx", F.when(F.col("event_type") != "error", F.col("x")).alias("energy_rms"),
-        F.when(F.col("event_type") != "click", F.col("level") / 4.0).alias("vad_confidence"), F.lit(None).cast("array<double>").alias("spectral"))
-    return joins.join_audio_positional(frames, audio).select("session_id", "frame_idx", "energy", "prob")
+        F.when(F.col("event_type") != "click", F.col("level") / 4.0).alias("vad_confidence"),
+        F.when(F.col("event_type") != "view", F.array_repeat("x", F.when(F.col("level") == 1, 63).otherwise(64))).alias("spectral"))
+    return joins.join_audio_positional(frames, audio).select("session_id", "frame_idx", "energy", "prob", "spectral")
 
 
 @query("get_sample", """SELECT label AS session_id, vec_id AS frame_idx, CAST(embedding[18] AS DOUBLE) AS jaw, 52 AS channels FROM embeddings WHERE (label, vec_id) IN (SELECT (label, min(vec_id)) FROM embeddings GROUP BY label)""")

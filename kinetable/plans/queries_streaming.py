@@ -35,12 +35,13 @@ def _(spark, sf):
     return out.select("session_id", "frame_idx", "dt", "is_gap", "speech_seconds", "between_seconds", "pause_seconds")
 
 
-@query("stream_watch", f"WITH {WATCH} SELECT session_id, 'start' AS event, start AS t FROM watch UNION ALL SELECT session_id, 'stop', stop FROM watch WHERE stop IS NOT NULL")
+@query("stream_watch", f"""WITH {WATCH}, p AS (SELECT ev.session_id, t, row_number() OVER (PARTITION BY ev.session_id ORDER BY t DESC, frame_idx DESC) AS r FROM ev JOIN watch USING (session_id) WHERE t <= start AND t >= start - {US['preroll']})
+  SELECT session_id, 'start' AS event, start AS t FROM watch UNION ALL SELECT session_id, 'stop', stop FROM watch WHERE stop IS NOT NULL UNION ALL SELECT session_id, 'pre_roll', t FROM p WHERE r <= 60""")
 def _(spark, sf):
     frames = _live(spark, sf).select(
         "session_id", "t", "frame_idx", F.col("event_type").isin("purchase", "click").alias("usable"), (F.col("event_type") != "error").alias("keep"))
     out = live.to_table(live.stream_watch(frames, CFG))
-    return out.filter(F.col("event") != "pre_roll").select("session_id", "event", "t")
+    return out.select("session_id", "event", "t")
 
 
 @query("stream_carry", f"WITH {AV} SELECT f.session_id, f.frame_idx, a.x FROM fr f ASOF LEFT JOIN au a ON a.session_id = f.session_id AND a.t <= f.t")

@@ -88,7 +88,11 @@ def with_audio(rows: DataFrame, audio: DataFrame | None) -> DataFrame:
 
 
 def feature_stats(training: DataFrame) -> DataFrame:
-    """Mean, deviation, min and max of every component of every feature."""
+    """Mean, deviation, min and max of every component of every feature.
+
+    The build is staged, as every feature reads its own columns of it.
+    """
+    training = staged(training.select(*[c for c in (*FEATURES, *LANDMARK_FEATURES) if c in training.columns]))
     parts = []
     for name in (*FEATURES, *LANDMARK_FEATURES):
         if name in training.columns:

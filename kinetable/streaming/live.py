@@ -30,11 +30,13 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 class SessionState(StatefulProcessor):
     """Runs ``step(state, rows) -> (state, output)`` on the ordered rows of a session."""
 
-    def __init__(self, step: Callable, order: Sequence[str], start: dict):
-        self.step, self.order, self.start = step, list(order), start
+    def __init__(self, step: Callable, order: Sequence[str], start: dict, idle_s: float | None = None):
+        self.step, self.order, self.start, self.idle_s = step, list(order), start, idle_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("session", T.StructType([T.StructField("json", T.StringType())]))
+        kind = T.StructType([T.StructField("json", T.StringType())])
+        idle = () if self.idle_s is None else (int(self.idle_s * 1000),)
+        self.value = handle.getValueState("session", kind, *idle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="mergesort", ignore_index=True)
@@ -48,9 +50,12 @@ class SessionState(StatefulProcessor):
 
 
 def keyed(stream: DataFrame, step: Callable, order: Sequence[str], start: dict, added: Sequence[tuple[str, T.DataType]],
-          key: str = "session_id", keep: Sequence[str] | None = None) -> DataFrame:
+          key: str = "session_id", keep: Sequence[str] | None = None, idle_s: float | None = None) -> DataFrame:
     """Apply a step to a stream: its rows (or ``keep``) plus the ``added`` columns.
 
+    With ``idle_s``, for streams that run on and on, the state of a session without rows for so
+    many seconds of processing time is dropped; a later row starts anew.
+
     Start the stream with :func:`to_table`, or under a session whose state store is STORE.
     """
     names = stream.columns if keep is None else list(keep)
@@ -61,7 +66,8 @@ def keyed(stream: DataFrame, step: Callable, order: Sequence[str], start: dict,
         return state, output[schema.names]
 
     return stream.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=SessionState(run, order, start), outputStructType=schema, outputMode="Append", timeMode="None"
+        statefulProcessor=SessionState(run, order, start, idle_s), outputStructType=schema, outputMode="Append",
+        timeMode="None" if idle_s is None else "ProcessingTime",
     )
 
 
