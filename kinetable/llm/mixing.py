@@ -29,7 +29,7 @@ class Settings:
 
     weights: tuple[int, ...] = (5, 2, 1)
     most: int = 3
-    range_rows: int = 20_000
+    range_rows: int = 2_000
 
 
 def words(text: Column) -> Column:
@@ -90,7 +90,7 @@ def mixed_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     an id share what the mix takes of them evenly; rows without an id can't be named and go.
     """
     shares = mix(docs, settings).groupBy(F.col("doc_id").alias("_id")).agg(F.floor(F.sum("taken") / F.count("*")).alias("_taken"))
-    rows = docs.join(shares.filter("_taken > 0"), F.col("doc_id") == F.col("_id")).withColumn("_size", words(F.col("text")))
+    rows = docs.join(staged(shares.filter("_taken > 0")).hint("shuffle_hash"), F.col("doc_id") == F.col("_id")).withColumn("_size", words(F.col("text")))
     copies = F.least(F.ceil(F.col("_taken") / F.greatest("_size", F.lit(1))), F.lit(settings.most)).cast("int")
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
     wanted = F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")).cast("int")

@@ -214,4 +214,4 @@ def keep_first(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     Repeated rows of a kept id stay as well, as they are one document.
     """
     dropped = near_duplicates(docs, settings).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(staged(dropped).hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
