@@ -51,9 +51,11 @@ def covered(found: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, removed (positions, comma-joined), text without them."""
     found = staged(windows(docs.select("doc_id", "text").filter("doc_id is not null")))
-    rows = docs.select("doc_id", "text").join(staged(covered(found)), "doc_id", "left")
-    gone = F.coalesce("removed", F.array().cast("array<int>"))
-    every = lines(F.col("text"))
+    # Marks grow with the corpus: one plan at every size, with the marks as the hashed side.
+    rows = docs.select("doc_id", "text").join(staged(covered(found)).hint("shuffle_hash"), "doc_id", "left")
+    # Columns of their own, so that no later expression splits a text again for every line.
+    rows = rows.select("doc_id", "text", F.coalesce("removed", F.array().cast("array<int>")).alias("_gone"), lines(F.col("text")).alias("_lines"))
+    gone, every = F.col("_gone"), F.col("_lines")
     left = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), gone)
     text = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.transform(left, lambda at: F.get(every, at)), "\n"))
     return rows.select(
