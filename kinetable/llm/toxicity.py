@@ -143,12 +143,15 @@ def class_counts(rows: DataFrame, settings: Settings) -> DataFrame:
                 sums[1 if y.as_py() > 0 else 0, buckets(text.as_py(), settings, seen)] += 1
         if sums.any():
             for at in range(0, size, part):
-                yield pa.RecordBatch.from_pylist([{"part": at, "counts": sums[:, at : at + part].tobytes()}])
+                # Byte by byte of all counts: mostly zeros in a row, which shuffles compress away.
+                planes = np.ascontiguousarray(sums[:, at : at + part]).view(np.uint8).reshape(-1, 4).T
+                yield pa.RecordBatch.from_pylist([{"part": at, "counts": planes.tobytes()}])
 
     def add(group: pa.Table) -> pa.Table:
         sums = np.zeros((2, part), dtype=np.int64)
         for counts in group.column("counts"):
-            sums += np.frombuffer(counts.as_buffer(), dtype=np.int32).reshape(2, part)
+            planes = np.frombuffer(counts.as_buffer(), dtype=np.uint8).reshape(4, -1)
+            sums += np.ascontiguousarray(planes.T).view(np.int32).reshape(2, part)
         used = np.flatnonzero(sums.any(axis=0))
         return pa.table({"bucket": used + group.column("part")[0].as_py(), "toxic": sums[1, used], "clean": sums[0, used]})
 
@@ -169,7 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     """Learn ratios from all training rows, then regression weights from the bounded sample."""
     known = staged(training_labels(labels))
     docs = docs.select("doc_id", "text")
-    counts = staged(class_counts(docs.join(known, "doc_id"), settings))
+    # Labels grow with the corpus: texts always meet them by a shuffle, never by a broadcast.
+    counts = staged(class_counts(docs.join(known.hint("shuffle_hash"), "doc_id"), settings))
     got = log_count_ratios(counts, settings).toPandas()  # no more rows than buckets
     ratios = Sparse(settings, got["bucket"].to_numpy(dtype=np.int64), got["r"].to_numpy(dtype=float))
     if not len(got):
