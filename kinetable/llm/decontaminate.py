@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinetable.session import staged
+
 RESULT = "doc_id long, item_id long, start int, end int, edits int, item_chars int"
 ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), *[(n, pa.int32()) for n in ("start", "end", "edits", "item_chars")]])
-TABLE_BITS = 20
+TABLE_BITS, ROUGH_BITS = 20, 18
 UNIT = 1 << 24
 #: Normalised characters searched at once, shared q-grams expanded at once, alignments made at once.
-PIECE, HITS, ALIGNED = 1 << 20, 1 << 20, 256
+PIECE, HITS, ALIGNED = 1 << 18, 1 << 18, 256
 
 
 @dataclass(frozen=True)
@@ -135,12 +137,12 @@ class Index:
             return item, (np.repeat(at[a:b], n) - self.place[row] + self.reach) // (self.edits[item] + 1)
 
         def rough(item: np.ndarray, band: np.ndarray) -> np.ndarray:
-            return ((item * 1_000_003 + band) * 2_654_435_761 >> 7) & ((1 << TABLE_BITS) - 1)
+            return ((item * 1_000_003 + band) * 2_654_435_761 >> 7) & ((1 << ROUGH_BITS) - 1)
 
         # Counts by hash are never too small: they drop most shared q-grams before any sorting.
-        totals = np.zeros(1 << TABLE_BITS, dtype=np.int64)
+        totals = np.zeros(1 << ROUGH_BITS, dtype=np.int64)
         for a, b in chunks:
-            totals += np.bincount(rough(*expand(a, b)), minlength=1 << TABLE_BITS)
+            totals += np.bincount(rough(*expand(a, b)), minlength=1 << ROUGH_BITS)
         kept = []
         for a, b in chunks:
             item, band = expand(a, b)
@@ -270,4 +272,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
 def keep_clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents in which no item was found, with all their columns."""
     dirty = contaminated(docs, benchmark, settings).select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(staged(dirty).hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
