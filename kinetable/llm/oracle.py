@@ -78,3 +78,32 @@ FROM f LEFT JOIN inh USING (doc_id)
 
 
 SQL["op3_licenses"] = _licences()
+
+SQL["op11_infill"] = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, sha256(concat('42:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS s FROM documents),
+h AS (SELECT doc_id, x, regexp_extract_all(x, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(s, i, 8) AS BIGINT)) AS h FROM t),
+f AS (SELECT doc_id, x, u, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+    CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS pre, coalesce(array_to_string(u[a + 1:b], ''), '') AS mid, coalesce(array_to_string(u[b + 1:n], ''), '') AS suf FROM f)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid)::BIGINT END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(x) AS restored_sha256
+FROM p
+"""
+
+SQL["op12_prefix_trie"] = r"""
+WITH t AS (SELECT conv_id AS c, turn, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS m, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w
+    FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, m) AS i FROM t),
+-- crc32 of the decimal id: each byte goes in, then eight shifts
+k AS (SELECT c, c - c % 20 AS b, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(c::VARCHAR, ''), lambda d: [ascii(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END), 4294967295::BIGINT) % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+l AS (SELECT k.*, least(h, (SELECT count(*) FROM t WHERE t.c = k.b)) AS lent FROM k),
+r AS (SELECT l.c, i.i AS d, m, w FROM l JOIN i ON i.c = l.b AND i.i <= l.lent UNION ALL SELECT l.c, i.i - h + lent, m, w FROM l JOIN i ON i.c = l.c AND i.i > l.h),
+p AS (SELECT c, 0 AS d, []::VARCHAR[] AS key, 0 AS w FROM l UNION ALL SELECT c, d, list(m) OVER (PARTITION BY c ORDER BY d), w FROM r),
+e AS (SELECT key, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends FROM (SELECT c, max(d) AS d FROM p GROUP BY c) JOIN p USING (c, d) GROUP BY key),
+n AS (SELECT key, d, min(c) AS c, count(*) AS n, min(w) AS w FROM p GROUP BY key, d),
+s AS (SELECT n.*, (SELECT count(*) FROM n AS o WHERE o.d = n.d + 1 AND o.key[1:n.d] = n.key) AS kids FROM n),
+u AS (SELECT key[1:j] AS top, sum((kids = 0)::INT) AS leaves, sum((n - 1) * w) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM s) GROUP BY 1)
+SELECT s.c AS conv_id, s.d::BIGINT AS depth, q.c AS parent_conv_id, s.n AS n_convs, s.kids AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM s JOIN u ON u.top = s.key LEFT JOIN n AS q ON q.d = s.d - 1 AND q.key = s.key[1:s.d - 1] AND s.d > 0 LEFT JOIN e ON e.key = s.key
+"""

@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as named queries over the test tables."""
+"""The operators and the pipeline as named queries over the test tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.llm import decontaminate, exact_dedup, licenses, line_dedup, mixing, pii, secrets, sharding, simhash, toxicity
+from kinetable.llm import decontaminate, exact_dedup, infill, language, licenses, line_dedup, mixing, pii, secrets, sharding, simhash, toxicity, tries
 from kinetable.llm.oracle import SQL  # noqa: F401  (registered next to QUERIES)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,22 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign(table(spark, folder, "documents"))
 
 
+@query
+def op11_infill(spark: SparkSession, folder: str) -> DataFrame:
+    return infill.digest(infill.fill_in_middle(table(spark, folder, "documents")))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return tries.trie(table(spark, folder, "conversations"))
+
+
+@query
+def op13_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return language.languages(docs, language.fit(docs))
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
