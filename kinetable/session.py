@@ -6,6 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,14 +52,46 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Fixed value: Spark's switch for dropping a query's shuffle files once the query has ended.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Inside, shuffle files go when the query that wrote them ends; on leaving, staged tables go.
+
+    Yields ``keep``, which stages a table that stays.  For chains of many staged tables, whose
+    disk would else fill up until the whole result is written.
+    """
+    paths, before = _staged.setdefault(spark.sparkContext.applicationId, []), spark.conf.get(TIDY, "false")
+    first, kept = len(paths), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = staged(df)
+        kept.append(paths[-1])
+        return out
+
+    spark.conf.set(TIDY, "true")
+    try:
+        yield keep
+    finally:
+        spark.conf.set(TIDY, before)
+        inside, paths[first:] = paths[first:], kept
+        _delete(spark, [p for p in inside if p not in kept])
+
+
 def release(spark: SparkSession) -> int:
     """Delete the tables staged so far, once the results that read them are written."""
     paths = _staged.pop(spark.sparkContext.applicationId, [])
+    _delete(spark, paths)
+    return len(paths)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(conf).delete(place, True)
-    return len(paths)
 
 
 def ship(spark: SparkSession) -> None:
