@@ -7,8 +7,8 @@ chances as there are distinct followers) and is sought in the next shorter conte
 out what the longer one could have given, down to equal chances.  Statistics are frozen, so a
 text's code length in a language is a sum of fixed numbers, and the shortest code wins.
 
-Spark counts the contexts of a bounded sample of distinct learned texts: the first ``fit_rows``
-of each language in hash order, whole.  A context is kept if it makes up at least one in
+Spark counts the contexts of a bounded sample of distinct learned texts: about the first
+``fit_rows`` of each language in hash order, whole.  A context is kept if it makes up at least one in
 ``contexts`` of its language's bytes, which bounds the trees at every size of the sample.  For
 scoring, the trees become one automaton whose states are the contexts of any of them, with the
 exact cost of each byte in each language; numpy walks all positions of a text together.
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetable.session import staged
@@ -53,13 +53,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(lang, text) of the first distinct texts in hash order of each language; a bounded sample."""
+    """(lang, text) of about the first ``fit_rows`` distinct texts in hash order of each language.
+
+    Hashes are evenly spread, so the share of texts wanted is the share of the range of hashes
+    taken: no language is sorted.
+    """
     known = docs.select("doc_id", "lang", "text").filter("lang is not null and doc_id is not null and text is not null")
     known = known.filter(~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("text", F.lit(settings.seed)))
-    firsts = known.groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    picked = firsts.withColumn("place", place).filter(F.col("place") <= settings.fit_rows).drop("place")
-    # No more rows than languages times fit_rows, at any size of the corpus.
+    firsts = staged(known.groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id")))
+    shares = firsts.groupBy("lang").agg((settings.fit_rows / F.count(F.lit(1))).alias("share"))
+    place = F.col("h").cast("double") / 2.0**64 + 0.5  # from 0 to 1
+    picked = firsts.join(F.broadcast(shares), "lang").filter(place < F.col("share")).select("lang", "h", "doc_id")  # a row per language
+    # Some fit_rows rows per language, at any size of the corpus.
     return known.join(F.broadcast(picked), ["lang", "h", "doc_id"]).select("lang", "text")
 
 
