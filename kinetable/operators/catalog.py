@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetable.functions import text
-from kinetable.operators.ordered import Timeline, row_index
+from kinetable.operators.ordered import key_positions
 
 DONE = ("completed", "already_recorded")
 
@@ -167,16 +167,11 @@ def build_registry(recordings: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
-def registry_sessions(recordings: DataFrame, order: list[str], width: float = 86_400_000_000) -> DataFrame:
-    """Distinct sessions of each source in first-seen order (``ordinal`` from 0).
-
-    The first order column is numeric; ``width`` is the extent of a work slice in it.
-    """
+def registry_sessions(recordings: DataFrame, order: list[str]) -> DataFrame:
+    """Distinct sessions of each source in first-seen order (``ordinal`` from 0)."""
     rows = recordings.filter(F.col("session_id").isNotNull()).withColumn("key", text.url_key(F.col("url")))
     seen = rows.groupBy("key", "session_id").agg(F.min(F.struct(*order)).alias("first_seen"))
-    seen = seen.withColumn("_t", F.col("first_seen")[order[0]])
-    line = Timeline(("key",), ("_t", "first_seen", "session_id"), width)
-    return row_index(seen, line, "ordinal").select("key", "session_id", "ordinal")
+    return key_positions(seen, ["key"], ["first_seen", "session_id"], "ordinal").select("key", "session_id", "ordinal")
 
 
 def registry_totals(registry: DataFrame) -> DataFrame:

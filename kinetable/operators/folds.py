@@ -1,5 +1,8 @@
 """Keyed recursions over sessions of any length.
 
+Flags and levels, whose slices have short functions, take the passes of :mod:`.composed`.  The
+others, filters of vectors, voice activity and tracking, go in rounds:
+
 A recursion needs its rows in order, but not its whole session in one task.  A
 session is cut into slices (``ordered.Timeline``), every slice is run at once from
 a guessed entry state, and the exit states - one short row per slice - are then
@@ -26,12 +29,10 @@ from pyspark.sql import types as T
 
 from kinetable.config import Config
 from kinetable.operators import steps
+from kinetable.operators.composed import BATCH, STATE, Composition, Contraction, Hysteresis, composed_fold, entries, whole_slices
 from kinetable.operators.ordered import SLICE, Timeline
 from kinetable.operators.windows import timeline
-from kinetable.session import cut
-
-STATE = T.ArrayType(T.DoubleType())
-BATCH = 20_000
+from kinetable.session import cut, staged
 
 
 @dataclass(frozen=True)
@@ -43,31 +44,6 @@ class Recursion:
     run: Callable
 
 
-def whole_slices(batches: Iterator[pd.DataFrame], group: list[str]) -> Iterator[pd.DataFrame]:
-    """Cut sorted batches at slice borders; a slice spanning batches is put together."""
-    held: list[pd.DataFrame] = []
-    for batch in batches:
-        if batch.empty:
-            continue
-        columns = [batch[c].to_numpy() for c in group]
-        change = np.zeros(len(batch), bool)
-        for values in columns:
-            change[1:] |= values[1:] != values[:-1]
-        if held:
-            change[0] = any(held[-1][c].iloc[-1] != batch[c].iloc[0] for c in group)
-        starts = np.flatnonzero(change).tolist()
-        if not held and (not starts or starts[0] != 0):
-            starts = [0, *starts]
-        if held and (not starts or starts[0] != 0):
-            held.append(batch.iloc[: starts[0] if starts else len(batch)])
-        for first, last in zip(starts, [*starts[1:], len(batch)]):
-            if held:
-                yield held[0] if len(held) == 1 else pd.concat(held)
-            held = [batch.iloc[first:last]]
-    if held:
-        yield held[0] if len(held) == 1 else pd.concat(held)
-
-
 def keyed_fold(df: DataFrame, line: Timeline, recursion: Recursion, with_slices: bool = False):
     """Rows of ``df`` with the recursion's outputs; optionally also the slice table.
 
@@ -152,14 +128,21 @@ def _doubles(column: pd.Series) -> np.ndarray:
 def quality_state(df: DataFrame, cfg: Config, line: Timeline | None = None, score: str = "score", rejected: str = "rejected") -> DataFrame:
     """Add ``is_valid``: quality with hysteresis, per face."""
     line = line or timeline(cfg, ("session_id", "face_id"))
-    t = line.order[0]
+    t, flag = line.order[0], Hysteresis(cfg.span(cfg.quality_min_s))
+
+    def marks(rows):
+        level, bad = _doubles(rows[score]), rows[rejected].to_numpy(bool)
+        up, down = (level >= cfg.quality_enter) & ~bad, (level < cfg.quality_exit) | bad
+        return rows[t].to_numpy(), np.flatnonzero(up), np.flatnonzero(down)
 
     def run(state, rows):
-        columns = {"t": rows[t].to_numpy(), "score": _doubles(rows[score]), "rejected": rows[rejected].to_numpy(bool)}
-        exit_state, out = steps.quality_state(state, columns, cfg)
-        return exit_state, out, []
+        _, at = flag.flips(state, *marks(rows))
+        turned = np.zeros(len(rows), dtype=int)
+        turned[at] = 1
+        return {"is_valid": (np.cumsum(turned) + int(state[0])) % 2 == 1}
 
-    return keyed_fold(df, line, Recursion((0.0, 0.0), (("is_valid", T.BooleanType()),), run))
+    how = Composition((0.0, 0.0), (("is_valid", T.BooleanType()),), lambda rows: flag.of_rows(*marks(rows)), flag.compose, flag.apply, run)
+    return composed_fold(df, line, how)
 
 
 def one_euro(df: DataFrame, cfg: Config, cols: list[str], line: Timeline | None = None, prefix: str = "smooth_") -> DataFrame:
@@ -240,32 +223,39 @@ def stored_audio(df: DataFrame) -> DataFrame:
     )
 
 
-def _scalar(step: Callable, value: str, name: str, start: tuple[float, ...]) -> Recursion:
+def _level(df: DataFrame, line: Timeline, value: str, name: str, start: tuple[float, ...], step: Callable) -> DataFrame:
+    """A level that follows a column by ``step``, a monotone contraction."""
+    bounds = df.agg(F.min(F.col(value).cast("double")), F.max(F.col(value).cast("double"))).first()
+    seen = [x for x in (*bounds, *start) if x is not None] or [0.0]
+    level = Contraction(step, min(seen), max(seen))
+
     def run(state, rows):
-        exit_state, out = step(state, _doubles(rows[value]))
-        return exit_state, {name: out}, []
+        return {name: step(state, _doubles(rows[value]))[1]}
 
-    return Recursion(start, ((name, T.DoubleType()),), run)
+    def summary(rows):
+        return level.of_rows(_doubles(rows[value]))
+
+    return composed_fold(df, line, Composition(start, ((name, T.DoubleType()),), summary, level.compose, level.apply, run))
 
 
 def attack_release(df: DataFrame, line: Timeline, value: str, name: str = "envelope", rise: float = 0.65, fall: float = 0.25,
                    start: float | None = None) -> DataFrame:
     """Attack/release envelope; starts at the first value unless ``start`` is given."""
-    def step(state, x):
-        return steps.attack_release(state, x, rise, fall)
+    return _level(df, line, value, name, () if start is None else (start,), lambda state, x: steps.attack_release(state, x, rise, fall))
 
-    return keyed_fold(df, line, _scalar(step, value, name, () if start is None else (start,)))
 
+def ema(df: DataFrame, line: Timeline, value: str, name: str = "ema", alpha: float = 0.1, start: float = 30.0) -> DataFrame:
+    return _level(df, line, value, name, (start,), lambda state, x: steps.ema(state, x, alpha))
 
-def adaptive_peak(df: DataFrame, line: Timeline, value: str, name: str = "peak", start: float = 0.04) -> DataFrame:
-    return keyed_fold(df, line, _scalar(steps.adaptive_peak, value, name, (start,)))
 
+def adaptive_peak(df: DataFrame, line: Timeline, value: str, name: str = "peak", start: float = 0.04) -> DataFrame:
+    """Slowly decaying peak.  It jumps at a row's value, so it is no monotone map, and goes in rounds."""
 
-def ema(df: DataFrame, line: Timeline, value: str, name: str = "ema", alpha: float = 0.1, start: float = 30.0) -> DataFrame:
-    def step(state, x):
-        return steps.ema(state, x, alpha)
+    def run(state, rows):
+        exit_state, out = steps.adaptive_peak(state, _doubles(rows[value]))
+        return exit_state, {name: out}, []
 
-    return keyed_fold(df, line, _scalar(step, value, name, (start,)))
+    return keyed_fold(df, line, Recursion((start,), ((name, T.DoubleType()),), run))
 
 
 def track(detections: DataFrame, cfg: Config, line: Timeline | None = None, frame: str = "frame_idx") -> DataFrame:
@@ -273,10 +263,10 @@ def track(detections: DataFrame, cfg: Config, line: Timeline | None = None, fram
 
     Inside a slice the tracks alive at entry are known by their slot only, so a
     slice depends on where they are, not on their numbers; numbers are given in a
-    second step over the slice table, by adding up the tracks born before.
+    second step over the slice table, by composing the slices' renamings.
     """
     line = line or timeline(cfg, order=("t", "det_idx"))
-    key, group = list(line.key), line.group
+    group = line.group
 
     def run(state, rows):
         # State: cx, cy, missed per live track, in age order.
@@ -296,31 +286,26 @@ def track(detections: DataFrame, cfg: Config, line: Timeline | None = None, fram
 
     recursion = Recursion((), (("_local", T.LongType()), ("_hits", T.LongType())), run)
     rows, slices = keyed_fold(detections, line, recursion, with_slices=True)
-    fields = {f.name: f.dataType for f in slices.schema}
-    names = T.StructType(
-        [T.StructField(c, fields[c]) for c in group]
-        + [T.StructField("_base", T.LongType()), T.StructField("_ids", STATE), T.StructField("_seen", STATE)]
-    )
-
-    def number(table: pd.DataFrame) -> pd.DataFrame:
-        base, ids, seen, out = 0, [], [], []
-        for row in table.sort_values(SLICE).itertuples(index=False):
-            out.append([base, ids, seen])
-            extra = list(row.extra)
-            pairs = [(int(extra[i]), extra[i + 1]) for i in range(1, len(extra), 2)]
-            ids, seen = (
-                [float(ids[-n - 1] if n < 0 else base + n) for n, _ in pairs],
-                [float(h + (seen[-n - 1] if n < 0 else 0)) for n, h in pairs],
-            )
-            base += int(extra[0])
-        ordered = table.sort_values(SLICE)[group].reset_index(drop=True)
-        return ordered.assign(_base=[o[0] for o in out], _ids=[o[1] for o in out], _seen=[o[2] for o in out])
-
-    numbered = slices.select(*group, "extra").groupBy(*key).applyInPandas(number, names)
-    old = F.col("_local") < 0
-    slot = (-F.col("_local") - 1).cast("int")
-    return line.sliced(rows).join(numbered, group).select(
+    # A slice renames the slots it finds: births, then the number and hits of each track it leaves,
+    # numbers below 0 for slots.  Renamings compose, so numbers need no group by session.
+    names = entries(staged(slices.select(*group, F.col("extra").alias("f"))), line, [0.0], renamed_twice, lambda r, known: renamed_twice(known, r or [0.0]))
+    numbered = line.sliced(rows).join(names, group)
+    old, slot = F.col("_local") < 0, (-F.col("_local") - 1).cast("int")
+    number, seen = (F.get("entry", 2 * slot + k) for k in (1, 2))
+    return numbered.select(
         *detections.columns,
-        F.when(old, F.get("_ids", slot).cast("long")).otherwise(F.col("_base") + F.col("_local")).alias("face_id"),
-        (F.col("_hits") + F.when(old, F.get("_seen", slot)).otherwise(0.0)).cast("long").alias("hits"),
+        F.when(old, number.cast("long")).otherwise(F.col("entry")[0].cast("long") + F.col("_local")).alias("face_id"),
+        (F.col("_hits") + F.when(old, seen).otherwise(0.0)).cast("long").alias("hits"),
     )
+
+
+def renamed_twice(first: list[float], second: list[float]) -> list[float]:
+    """Slot renamings one after the other: ``[births, number, hits, number, hits, ...]``."""
+    out = [first[0] + second[0]]
+    for number, hits in zip(second[1::2], second[2::2]):
+        if number < 0:
+            slot = int(-number - 1)
+            out += [first[1 + 2 * slot], hits + first[2 + 2 * slot]]
+        else:
+            out += [first[0] + number, hits]
+    return out

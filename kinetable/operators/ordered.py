@@ -162,6 +162,22 @@ def positions(df: DataFrame, order: Sequence[str], name: str = "idx", rows: int
     return laid.withColumn("_at", inside).join(bases, SLICE).select(*df.columns, (F.col("_base") + F.col("_at")).alias(name))
 
 
+def key_positions(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str = "idx", rows: int = SLICE_ROWS) -> DataFrame:
+    """Zero-based position of each row among those of its key, in the order of any orderable columns.
+
+    Range partitioning by key and order cuts where rows are many, not at fixed extents; a part
+    of a key is numbered after the key's parts before it.
+    """
+    data = staged(df)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-data.count() // rows))
+    laid = staged(data.repartitionByRange(parts, *key, *order).withColumn(SLICE, F.spark_partition_id()))
+    before = Window.partitionBy(*key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    sizes = laid.groupBy(*key, SLICE).agg(F.count(F.lit(1)).alias("_n"))
+    bases = sizes.select(*key, SLICE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy(*key, SLICE).orderBy(*order)) - 1
+    return laid.withColumn("_at", inside).join(bases, [*key, SLICE]).select(*df.columns, (F.col("_base") + F.col("_at")).alias(name))
+
+
 def row_index(df: DataFrame, line: Timeline, name: str = "idx") -> DataFrame:
     """Zero-based position of each row in its key's order (global if the key is empty)."""
     if not line.key:

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetable.session import staged
+
 ACCURACY = 10_000
 SLACK = 4.0 / ACCURACY
 
@@ -73,10 +75,17 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         .groupBy(*keys, "_q", "_rank", "_r0", "_r1", "_below", "_x")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    upto = Window.partitionBy(*keys, "_q").orderBy("_x")
-    ranked = merged.withColumn("_end", F.col("_below") + F.sum("_c").over(upto)).withColumn(
-        "_begin", F.col("_end") - F.col("_c")
-    )
+    group = [*keys, "_q"]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = staged(merged.repartitionByRange(parts, *group, "_x").withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    sizes = laid.groupBy(*group, "_r0", "_r1", "_below", "_part").agg(F.sum("_c").alias("_n"))
+    sizes = sizes.withColumn("_low", F.col("_below") + F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    end = F.col("_low") + F.col("_n")
+    holding = sizes.filter(((F.col("_r0") >= F.col("_low")) & (F.col("_r0") < end)) | ((F.col("_r1") >= F.col("_low")) & (F.col("_r1") < end)))
+    inside = Window.partitionBy(*group, "_part").orderBy("_x")
+    ranked = laid.drop("_below").join(holding.select(*group, "_part", "_low"), [*group, "_part"])
+    ranked = ranked.withColumn("_end", F.col("_low") + F.sum("_c").over(inside)).withColumn("_begin", F.col("_end") - F.col("_c"))
     holds0 = (F.col("_begin") <= F.col("_r0")) & (F.col("_r0") < F.col("_end"))
     holds1 = (F.col("_begin") <= F.col("_r1")) & (F.col("_r1") < F.col("_end"))
     picked = ranked.groupBy(*keys, "_q", "_rank", "_r0").agg(

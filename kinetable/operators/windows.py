@@ -257,14 +257,17 @@ def throughput(df: DataFrame, key: list[str], t: str, latency: str, cfg: Config,
     )
 
 
-def watch_sessions(df: DataFrame, cfg: Config, trigger: Column, keep: Column, line: Timeline | None = None) -> DataFrame:
+def watch_sessions(df: DataFrame, cfg: Config, trigger: Column, keep: Column, line: Timeline | None = None, rearm: bool = False) -> DataFrame:
     """One recording per session: first trigger after a steady run, then first loss.
 
     ``start``: first row that ends a run of trigger-usable rows lasting 0.30 s.
     ``stop``: first later row at least 1.80 s after the last keep-usable row; null
     if the session ends first.  Session-level results are partial aggregates.
+    With ``rearm`` the watch begins anew after each loss, see :func:`watch_again`.
     """
     line = line or timeline(cfg)
+    if rearm:
+        return watch_again(df, cfg, trigger, keep, line)
     t = line.order[0]
     key = list(line.key)
     base = df.select(*line.key, *line.order, trigger.alias("_on"), keep.alias("_keep"))
@@ -284,6 +287,33 @@ def watch_sessions(df: DataFrame, cfg: Config, trigger: Column, keep: Column, li
     )
 
 
+def watch_again(df: DataFrame, cfg: Config, trigger: Column, keep: Column, line: Timeline) -> DataFrame:
+    """Every recording of a session: key, ``recording`` (from 1), ``start`` and ``stop``.
+
+    A row is a transition function of the automaton armed/recording: a run of trigger rows sets
+    it to recording whatever it was, a loss sets it to armed, other rows leave it alone.  Such
+    functions compose to the newest one that sets anything, so the composition of all earlier
+    rows is a running maximum, which slices hand on like any other; no session is one task.
+    A row counts as a trigger only if it is keep-usable as well: the face that starts a
+    recording is there.  So no run of triggers reaches over a loss.
+    """
+    t, key, place = line.order[0], list(line.key), line.position()
+    on = F.coalesce(trigger & keep, F.lit(False))
+    base = df.select(*key, *line.order, on.alias("_on"), F.coalesce(keep, F.lit(False)).alias("_keep"))
+    data = staged(previous(base, line, {"_was": F.col("_on")}))
+    starts = F.col("_on") & ~F.coalesce(F.col("_was"), F.lit(False))
+    # The start of the running run of triggers, and the newest keep-usable row.
+    data = running(data, line, {"_run": ("max", F.when(starts, F.col(t))), "_seen": ("max", F.when(F.col("_keep"), F.col(t)))})
+    up = F.col("_on") & (F.col(t) - F.col("_run") >= F.lit(cfg.span(cfg.watch_trigger_s)))
+    down = ~F.col("_keep") & (F.col(t) - F.col("_seen") >= F.lit(cfg.span(cfg.watch_loss_s)))
+    setting = staged(data.withColumn("_set", F.when(up, True).when(down, False)).filter("_set is not null").select(*key, *line.order, "_set"))
+    before = previous(setting, line, {"_state": F.col("_set")})
+    changes = staged(before.filter(F.col("_set") != F.coalesce("_state", F.lit(False))))
+    opened = running(changes, line, {"_start": ("max", F.when(F.col("_set"), place)), "recording": ("sum", F.col("_set").cast("long"))})
+    out = opened.groupBy(*key, "recording").agg(F.max(F.col("_start")[t]).alias("start"), F.min(F.when(~F.col("_set"), F.col(t))).alias("stop"))
+    return out.select(*key, "recording", "start", "stop")
+
+
 def pre_roll(df: DataFrame, triggers: DataFrame, cfg: Config, line: Timeline | None = None, at: str = "start") -> DataFrame:
     """Rows within 2 s before each session's trigger, at most ``max(10, 2 s of frames)`` of them."""
     line = line or timeline(cfg)

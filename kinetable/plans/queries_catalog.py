@@ -199,7 +199,7 @@ def _(spark, sf):
 
 @query("registry_sessions", f"WITH {REG} SELECT key, session_id, row_number() OVER (PARTITION BY key ORDER BY f, session_id) - 1 AS ordinal FROM seen")
 def _(spark, sf):
-    return catalog.registry_sessions(recordings(spark, sf), ORDER, width=730 * DAY_US)
+    return catalog.registry_sessions(recordings(spark, sf), ORDER)
 
 
 @query("registry_totals", f"""WITH {REG} SELECT count(*) AS videos, CAST(sum(session_count) AS BIGINT) AS sessions, CAST(sum(total_frames) AS BIGINT) AS frames, round_even(sum(total_duration_seconds) / 60.0::DOUBLE, 1) AS minutes,
@@ -475,8 +475,7 @@ def _(spark, sf):
 
 @query("session_inventory", f"""WITH {ASSIGN} SELECT session_id, frames, round_even(size_bytes / 1048576.0::DOUBLE, 2) AS size_mb, (SELECT count(*) FROM asg) AS total_sessions, (SELECT CAST(sum(frames) AS BIGINT) FROM asg) AS total_frames FROM asg ORDER BY session_id LIMIT 8""")
 def _(spark, sf):
-    rows = _sessions(spark, sf).select("session_id", F.coalesce("total_video_frames", F.lit(0)).alias("frames"), "size_bytes")
-    return catalog.session_inventory(rows)
+    return catalog.session_inventory(_assigned(spark, sf).select("session_id", "frames", "size_bytes"))
 
 
 @query("dedup_first", """WITH r AS (SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey) AS r FROM lineitem)

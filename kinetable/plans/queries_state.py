@@ -39,7 +39,19 @@ def _(spark, sf):
     return folds.one_euro(_frames(spark, sf, "x"), CFG, ["x"], FOLD_LINE).select("session_id", "frame_idx", "smooth_x")
 
 
-@query("clean_layer")
+# Seven components a row: three landmarks, two channels, an angle and a shift.
+@query("clean_layer", f"""WITH RECURSIVE {ROWS}, c AS (SELECT session_id, frame_idx, t, rn, unnest([1, 2, 3, 4, 5, 6, 7]) AS k, unnest([x, x / 2, x / 3, x / 100, x / 500, x, x / 10]) AS x FROM o),
+  r AS (SELECT session_id, frame_idx, rn, t, k, x AS v, NULL::DOUBLE AS s FROM c WHERE rn = 1
+  UNION ALL SELECT session_id, frame_idx, rn, t, k, b * x + (1.0::DOUBLE - b) * v, s FROM (
+    SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + 1.0::DOUBLE / ({PI2}::DOUBLE * (1.0::DOUBLE + 0.007::DOUBLE * abs(s))) / te) AS b FROM (
+    SELECT *, CASE WHEN s0 IS NULL THEN raw ELSE a * raw + (1.0::DOUBLE - a) * s0 END AS s FROM (
+    SELECT *, (x - v) * rate AS raw, 1.0::DOUBLE / rate AS te, 1.0::DOUBLE / (1.0::DOUBLE + 1.0::DOUBLE / ({PI2}::DOUBLE * 1.0::DOUBLE) / (1.0::DOUBLE / rate)) AS a FROM (
+    SELECT o.session_id, o.frame_idx, o.rn, o.t, o.k, o.x, r.v, r.s AS s0, 1.0::DOUBLE / greatest(1e-4::DOUBLE, (o.t - r.t) / {DAY_US}.0::DOUBLE) AS rate {STEP.replace('JOIN o', 'JOIN c AS o')} AND o.k = r.k))))),
+  l AS (SELECT session_id, frame_idx, any_value(t) AS t, list(v ORDER BY k) AS v FROM r GROUP BY session_id, frame_idx)
+  SELECT l.session_id, l.frame_idx, l.t, [x, x / 2, x / 3] AS landmarks, [x / 100, x / 500] AS channels, [x, x, x, x / 10, x / 10, x / 10] AS pose, v[1:3] AS clean_landmarks,
+    list_transform(v[4:5], lambda y: round_even(least(1.0::DOUBLE, greatest(0.0::DOUBLE, y)), 5)) AS clean_channels,
+    [round_even(v[6], 2), round_even(v[6], 2), round_even(v[6], 2), round_even(v[7], 3), round_even(v[7], 3), round_even(v[7], 3)] AS clean_pose, true AS is_observed, false AS is_reconstructed
+  FROM l JOIN o USING (session_id, frame_idx)""")
 def _(spark, sf):
     x = F.col("x")
     rows = _frames(

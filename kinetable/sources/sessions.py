@@ -129,6 +129,15 @@ def _members(data: bytes, suffix: str) -> Iterator[tuple[str, bytes]]:
             pass
 
 
+def archive_frames(name: str, data: bytes, schema: T.StructType) -> Iterator[pd.DataFrame]:
+    """Frames of the sessions inside one archive, batch by batch; damage is a row with ``corrupt`` set."""
+    try:
+        for session, member in _members(data, FRAME_FILE):
+            yield from _decode(session, member, schema)
+    except Exception as error:
+        yield _shaped({"session_id": [name], "corrupt": [f"{type(error).__name__}: {error}"]}, schema, 1)
+
+
 def read_chunks(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Frames of the sessions inside every archive, one task per archive; damage has ``corrupt`` set."""
     schema = frame_schema(columns)
@@ -136,11 +145,7 @@ def read_chunks(spark: SparkSession, path: str, columns: Sequence[str] | None =
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"]):
-                try:
-                    for session, member in _members(data, FRAME_FILE):
-                        yield from _decode(session, member, schema)
-                except Exception as error:
-                    yield _shaped({"session_id": [name], "corrupt": [f"{type(error).__name__}: {error}"]}, schema, 1)
+                yield from archive_frames(name, data, schema)
 
     return _files(spark, path, "*.tar.gz").select("path", "content").mapInPandas(decode, schema)
 

@@ -54,7 +54,7 @@ def test_registry_upsert(spark):
     row = catalog.build_registry(rec, ["t"]).first()
     assert (row.key, row.title, row.quality, row.recorded_count, row.session_count, row.last_session) == (ID, "Talk | one", "720p", 3, 2, "b")
     assert (row.total_frames, row.total_duration_seconds, row.first_recorded_at, row.last_recorded_at) == (60, 6.5, 1, 3)
-    assert [(r.session_id, r.ordinal) for r in catalog.registry_sessions(rec, ["t"], width=1).orderBy("ordinal").collect()] == [("a", 0), ("b", 1)]
+    assert [(r.session_id, r.ordinal) for r in catalog.registry_sessions(rec, ["t"]).orderBy("ordinal").collect()] == [("a", 0), ("b", 1)]
     cells = catalog.registry_rows(catalog.build_registry(rec, ["t"])).first()
     assert cells.title == "Talk - one" and cells.duration == "0.1m (6s)"
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinetable.anatomy import CHANNELS
+from kinetable.functions import tables
 from kinetable.plans import training
 from kinetable.sources import exports, feeds, sessions
 
@@ -90,6 +91,23 @@ def test_archives(spark, folder, tmp_path_factory):
         assert "half.tar.gz" in {r.session_id.rsplit("/", 1)[1] for r in sessions.corrupt_files(reader(spark, str(place))).collect()}
 
 
+def test_archives_from_sql(spark, folder, tmp_path_factory):
+    place = tmp_path_factory.mktemp("sql")
+    with tarfile.open(place / "one.tar.gz", "w:gz") as tar:
+        for i in (1, 2):
+            tar.add(folder / f"session_{i}", arcname=f"session_{i}")
+    (place / "broken.tar.gz").write_bytes(b"x" * 500)
+    tables.register(spark)
+    archives = spark.read.format("binaryFile").load(str(place))
+    rows = spark.sql("SELECT c.* FROM {archives} a, LATERAL read_chunks(a.path, a.content) c", archives=archives)
+    columns = ["session_id", "frame_idx", *tables.CHUNK_COLUMNS, "corrupt"]
+    want = sessions.read_chunks(spark, str(place), list(tables.CHUNK_COLUMNS))
+    assert rows.count() == 71 and sorted(map(str, rows.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+    got = spark.sql("SELECT * FROM sequence_windows(100, 64, 16)").collect()
+    assert [tuple(r) for r in got] == [(0, 0, 63), (1, 16, 79)]
+    assert spark.sql("SELECT * FROM sequence_windows(3, 64, 16)").collect() == [(0, 0, 2)] and not spark.sql("SELECT * FROM sequence_windows(0, 64, 16)").collect()
+
+
 def test_unused_arrays_and_bad_audio_are_reported(spark, folder):
     (folder / "session_1" / "face_motion.npz").write_bytes(packed({**arrays(40), "roles": np.array(["SPEAKER"] * 5)}))
     for name, text in (("session_1", "{broken"), ("session_2", "{}"), ("session_bad", "[]")):

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from kinetable.config import Config
-from kinetable.operators import folds, steps
+from kinetable.operators import composed, folds, steps
 from kinetable.operators.ordered import Timeline
 
 CFG = Config()
@@ -124,3 +124,61 @@ def test_envelopes(spark):
     assert steps.attack_release([], np.array([0.0, 1.0, 0.0]))[1].tolist() == [0.0, 0.65, 0.65 * 0.75]
     assert steps.adaptive_peak([0.04], np.array([1.0, 0.0]))[1].tolist() == [0.92 * 0.04 + 0.08, 0.998 * (0.92 * 0.04 + 0.08)]
     assert steps.ema([30.0], np.array([20.0]))[1].tolist() == [0.9 * 30.0 + 0.1 * 20.0]
+
+
+def many_slices(n=300, seed=3):
+    """Rows in a hundred slices of a few rows each, half of them in one session."""
+    rng = np.random.default_rng(seed)
+    x = np.where(rng.random(n) < 0.3, 0.0, rng.random(n) * rng.choice([0.01, 1.0, 50.0], n))
+    return pd.DataFrame({"session_id": np.where(np.arange(n) % 2 == 0, "hot", "cold"), "frame_idx": np.arange(n), "t": np.arange(n) / 3.0, "x": x, "rejected": rng.random(n) < 0.05})
+
+
+SHORT = Timeline(("session_id",), ("t", "frame_idx"), 1.0)
+
+
+@pytest.mark.parametrize(("name", "start", "step"), [("envelope", [], steps.attack_release), ("ema", [30.0], steps.ema)])
+def test_levels_take_one_pass_over_a_hundred_slices(spark, monkeypatch, name, start, step):
+    writes = []
+    monkeypatch.setattr(composed, "staged", lambda df, staged=composed.staged: writes.append(1) or staged(df))
+    monkeypatch.setattr(folds, "cut", lambda df: pytest.fail("a round"))
+    operator = {"envelope": folds.attack_release, "ema": folds.ema}[name]
+    data = many_slices()
+    out = operator(spark.createDataFrame(data), SHORT, "x").toPandas().set_index("frame_idx")[name].sort_index()
+    assert out.tolist() == by_session(data, lambda g: step(start, g["x"].to_numpy())[1]).tolist()
+    assert len(writes) == 1
+
+
+def test_peak_in_slices_equals_one_pass(spark):
+    data = many_slices(60)
+    out = folds.adaptive_peak(spark.createDataFrame(data), SHORT, "x").toPandas().set_index("frame_idx")["peak"].sort_index()
+    assert out.tolist() == by_session(data, lambda g: steps.adaptive_peak([0.04], g["x"].to_numpy())[1]).tolist()
+
+
+@pytest.mark.parametrize("width", [0.05, 1.0, 1e9])
+def test_quality_in_slices_equals_one_pass(spark, monkeypatch, width):
+    monkeypatch.setattr(folds, "cut", lambda df: pytest.fail("a round"))
+    data = many_slices(400, 8).assign(t=lambda d: np.round(d["t"] / 10, 3))
+    data["score"] = np.random.default_rng(1).choice([0.3, 0.55, 0.7], len(data))
+    line = Timeline(("session_id",), ("t", "frame_idx"), width)
+    out = folds.quality_state(spark.createDataFrame(data.drop(columns="x")), CFG, line).toPandas().set_index("frame_idx")["is_valid"].sort_index()
+    want = by_session(data, lambda g: steps.quality_state([0.0, 0.0], {"t": g["t"].to_numpy(), "score": g["score"].to_numpy(), "rejected": g["rejected"].to_numpy()}, CFG)[1]["is_valid"])
+    assert out.tolist() == want.tolist() and 50 < out.sum() < 350
+
+
+@pytest.mark.parametrize("n", [1, 2, 60, 600])
+def test_summaries_equal_the_steps(n):
+    rng = np.random.default_rng(n)
+    x = rng.random(n) * rng.choice([0.01, 1.0, 100.0])
+    parts = x[: n // 2], x[n // 2 :]
+    for step in (steps.attack_release, steps.ema):
+        level = composed.Contraction(step, 0.0, 1000.0)
+        whole, halves = level.of_rows(x, block=16), level.compose(*(level.of_rows(part, block=16) for part in parts))
+        for entry in [0.0, 0.02, *(rng.random(20) * rng.choice([1e-3, 1.0, 1e3], 20))]:
+            assert level.apply(whole, [entry]) == level.apply(halves, [entry]) == step([entry], x)[0]
+        assert level.apply(halves, [5.0]) if step is steps.ema else level.apply(whole, []) == step([], x)[0]
+
+
+def test_renamings_compose():
+    first, second, third = [2.0, -1.0, 3.0, 0.0, 1.0, 1.0, 5.0], [1.0, -2.0, 2.0, 0.0, 4.0], [0.0, -1.0, 7.0]
+    both = folds.renamed_twice(folds.renamed_twice(first, second), third)
+    assert both == folds.renamed_twice(first, folds.renamed_twice(second, third)) == [3.0, 0.0, 10.0]
