@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinetable.functions import text
 from kinetable.operators import catalog
+from kinetable.streaming import live
 
 
 def stream_urls(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,33 +31,47 @@ QUEUE_SCHEMA = (
 )
 
 
+#: Places in the queue set aside for each micro-batch.
+BATCH_PLACES = 1 << 42
+
+
+def first_seen(urls: DataFrame) -> DataFrame:
+    """The first row of every key of a stream, by ``pos`` or else ``url`` within a micro-batch.
+
+    Which keys have been seen is keyed state, so a batch is compared with nothing that was written.
+    """
+    order = [c for c in ("pos", "url") if c in urls.columns]
+
+    def step(memory, rows):
+        return {"seen": True}, rows.iloc[: 0 if memory["seen"] else 1]
+
+    return live.keyed(urls, step, order, {"seen": False}, [], key="key")
+
+
 def append_new(registry: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
-    """A batch function that appends the sources the queue does not hold yet.
+    """A batch function that writes the queue rows of the sources in the batch.
 
-    A batch writes its own folder, so repeating a batch replaces what it wrote; what
-    a batch is compared with are the folders before it.
+    A batch writes its own folder, so repeating a batch replaces what it wrote; that no source
+    comes twice is :func:`first_seen`'s part.  Places of later batches follow those of earlier ones.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         if "pos" not in batch.columns:
             batch = batch.withColumn("pos", F.monotonically_increasing_id())
-        known = spark.createDataFrame([], QUEUE_SCHEMA)
-        if number > 0:
-            known = queue_table(spark, path, known.schema).filter(F.col("_metadata.file_path").rlike(r"/batch-\d+/"))
-            at = F.regexp_extract(F.col("_metadata.file_path"), r"/batch-(\d+)/", 1).cast("long")
-            known = known.filter(at < number)
-        grown = catalog.sync_queue(known, batch.select("pos", "url"), registry)
-        fresh = grown.join(known.select("key"), "key", "left_anti").select(*known.columns)
-        fresh.write.mode("overwrite").parquet(f"{path}/batch-{number}")
+        known = batch.sparkSession.createDataFrame([], QUEUE_SCHEMA)
+        fresh = catalog.sync_queue(known, batch.select("pos", "url"), registry).withColumn("pos", F.col("pos") + number * BATCH_PLACES)
+        fresh.select(*known.columns).write.mode("overwrite").parquet(f"{path}/batch-{number}")
 
     return write
 
 
 def stream_queue(urls: DataFrame, registry: DataFrame, path: str, progress: str):
-    """Keep the queue table at ``path`` in step with a URL stream."""
-    writer = urls.writeStream.foreachBatch(append_new(registry, path)).option("checkpointLocation", progress)
-    return writer.trigger(availableNow=True).start()
+    """Keep the queue table at ``path`` in step with a URL stream; batch n reads batch n only."""
+    if "key" not in urls.columns:
+        urls = urls.withColumn("key", text.url_key(F.col("url")))
+    writer = first_seen(urls).writeStream.foreachBatch(append_new(registry, path)).option("checkpointLocation", progress)
+    with live.keyed_store(urls.sparkSession):
+        return writer.trigger(availableNow=True).start()
 
 
 def live_status(frames: DataFrame) -> DataFrame:

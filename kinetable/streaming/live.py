@@ -2,7 +2,9 @@
 
 Each processor keeps one small JSON state per session and calls the step functions
 of ``operators.steps``, so a stream gives the rows a batch run gives.  Rows of a
-micro-batch are put in order first; order across micro-batches is the source's.
+micro-batch are put in order first.  Order across micro-batches is the source's, unless an
+operator is given a ``Lateness``: then rows wait for the watermark (``streaming.event_time``), the
+output has ``is_late``, and rows may arrive in any order within the delay.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -22,6 +25,7 @@ from kinetable.config import Config
 from kinetable.operators import steps
 from kinetable.operators.speech import gate_labels
 from kinetable.session import checkpoint_folder
+from kinetable.streaming.event_time import Lateness, in_order
 
 # Fixed value: the state store that keyed processors need.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -30,8 +34,8 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 class SessionState(StatefulProcessor):
     """Runs ``step(state, rows) -> (state, output)`` on the ordered rows of a session."""
 
-    def __init__(self, step: Callable, order: Sequence[str], start: dict, idle_s: float | None = None):
-        self.step, self.order, self.start, self.idle_s = step, list(order), start, idle_s
+    def __init__(self, step: Callable, order: Sequence[str], start: dict, names: Sequence[str], idle_s: float | None = None):
+        self.step, self.order, self.start, self.names, self.idle_s = step, list(order), start, list(names), idle_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         kind = T.StructType([T.StructField("json", T.StringType())])
@@ -39,18 +43,21 @@ class SessionState(StatefulProcessor):
         self.value = handle.getValueState("session", kind, *idle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="mergesort", ignore_index=True)
+        batch = pd.concat(list(rows), ignore_index=True)
+        batch.columns = self.names  # columns made on the way may come without their names
+        batch = batch.sort_values(self.order, kind="mergesort", ignore_index=True)
         state = json.loads(self.value.get()[0]) if self.value.exists() else json.loads(json.dumps(self.start))
         state, output = self.step(state, batch)
         self.value.update((json.dumps(state),))
-        yield output
+        if len(output):
+            yield output
 
     def close(self) -> None:
         pass
 
 
 def keyed(stream: DataFrame, step: Callable, order: Sequence[str], start: dict, added: Sequence[tuple[str, T.DataType]],
-          key: str = "session_id", keep: Sequence[str] | None = None, idle_s: float | None = None) -> DataFrame:
+          key: str = "session_id", keep: Sequence[str] | None = None, idle_s: float | None = None, lateness: Lateness | None = None) -> DataFrame:
     """Apply a step to a stream: its rows (or ``keep``) plus the ``added`` columns.
 
     With ``idle_s``, for streams that run on and on, the state of a session without rows for so
@@ -58,6 +65,8 @@ def keyed(stream: DataFrame, step: Callable, order: Sequence[str], start: dict,
 
     Start the stream with :func:`to_table`, or under a session whose state store is STORE.
     """
+    if lateness:
+        return in_order(stream, step, order, start, added, lateness, key, keep)
     names = stream.columns if keep is None else list(keep)
     schema = T.StructType([f for f in stream.schema if f.name in names] + [T.StructField(n, t) for n, t in added])
 
@@ -66,26 +75,34 @@ def keyed(stream: DataFrame, step: Callable, order: Sequence[str], start: dict,
         return state, output[schema.names]
 
     return stream.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=SessionState(run, order, start, idle_s), outputStructType=schema, outputMode="Append",
+        statefulProcessor=SessionState(run, order, start, stream.columns, idle_s), outputStructType=schema, outputMode="Append",
         timeMode="None" if idle_s is None else "ProcessingTime",
     )
 
 
+@contextmanager
+def keyed_store(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in STORE."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def to_table(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """Run a stream over everything available and return what it wrote.
 
     ``folder`` keeps data and progress between calls, so that a later call continues.
     """
     spark = stream.sparkSession
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting)
     base = folder or f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.format("parquet").option("path", f"{base}/data").option("checkpointLocation", f"{base}/progress")
-    spark.conf.set(setting, STORE)
-    try:
-        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set(setting, before)
+    with keyed_store(spark):
+        query = writer.outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
 
 
@@ -96,7 +113,7 @@ def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: i
     return source.parquet(folder)
 
 
-def stream_gaps(frames: DataFrame, cfg: Config, order=("t", "frame_idx"), state: str = "state") -> DataFrame:
+def stream_gaps(frames: DataFrame, cfg: Config, order=("t", "frame_idx"), state: str = "state", lateness: Lateness | None = None) -> DataFrame:
     """Gap flag of every row and the session's running seconds per gated state.
 
     ``frames`` has session_id, t, frame_idx and ``state`` (null while not gated).
@@ -123,14 +140,15 @@ def stream_gaps(frames: DataFrame, cfg: Config, order=("t", "frame_idx"), state:
     kind = T.DoubleType() if cfg.unit == 1.0 else T.LongType()
     start = {"t": None, **{n: 0 if cfg.unit != 1.0 else 0.0 for n in names}}
     added = [("dt", kind), ("is_gap", T.BooleanType()), *[(n, kind) for n in names]]
-    return keyed(frames, step, order, start, added)
+    return keyed(frames, step, order, start, added, lateness=lateness)
 
 
-def stream_watch(frames: DataFrame, cfg: Config, order=("t", "frame_idx")) -> DataFrame:
+def stream_watch(frames: DataFrame, cfg: Config, order=("t", "frame_idx"), rearm: bool = False, lateness: Lateness | None = None) -> DataFrame:
     """Recording events per session: ``pre_roll`` rows, ``start`` and ``stop``.
 
     ``frames`` has session_id, t, frame_idx, ``usable`` (trigger) and ``keep``.  The
-    ring of recent rows is capped like the batch pre-roll.
+    ring of recent rows is capped like the batch pre-roll.  With ``rearm`` the watch begins
+    anew after each stop, with an empty ring; a trigger row then has to be a keep row as well.
     """
     t, index = order
     cap, reach = max(10, int(cfg.preroll_s * cfg.fps)), cfg.span(cfg.preroll_s)
@@ -139,6 +157,7 @@ def stream_watch(frames: DataFrame, cfg: Config, order=("t", "frame_idx")) -> Da
     def step(memory, rows):
         events = []
         for session, now, frame, usable, keep in rows[["session_id", t, index, "usable", "keep"]].itertuples(index=False):
+            usable = usable and (keep or not rearm)
             if memory["phase"] == "armed":
                 memory["ring"] = [r for r in [*memory["ring"], [now, frame]] if r[0] >= now - reach][-cap:]
                 if not usable:
@@ -153,15 +172,15 @@ def stream_watch(frames: DataFrame, cfg: Config, order=("t", "frame_idx")) -> Da
                     memory["seen"] = now
                 elif now - memory["seen"] >= loss:
                     events.append((session, "stop", now, frame))
-                    memory["phase"] = "done"
+                    memory.update(phase="armed" if rearm else "done", run=None)
         return memory, pd.DataFrame(events, columns=["session_id", "event", t, index])
 
     kinds = {f.name: f.dataType for f in frames.schema}
     added = [("event", T.StringType()), (t, kinds[t]), (index, kinds[index])]
-    return keyed(frames, step, order, {"phase": "armed", "run": None, "seen": None, "ring": []}, added, keep=["session_id"])
+    return keyed(frames, step, order, {"phase": "armed", "run": None, "seen": None, "ring": []}, added, keep=["session_id"], lateness=lateness)
 
 
-def stream_carry(frames: DataFrame, audio: DataFrame, values: Sequence[str], order=("t", "kind", "id")) -> DataFrame:
+def stream_carry(frames: DataFrame, audio: DataFrame, values: Sequence[str], order=("t", "kind", "id"), lateness: Lateness | None = None) -> DataFrame:
     """Frames with the values of the latest audio row of their session.
 
     Both streams have session_id, t and id; ``values`` are columns of ``audio``.
@@ -182,10 +201,10 @@ def stream_carry(frames: DataFrame, audio: DataFrame, values: Sequence[str], ord
                     carried[v].append(memory[v])
         return memory, rows.iloc[kept][["session_id", "t", "id"]].assign(**carried)
 
-    return keyed(both, step, order, dict.fromkeys(values), [(v, kinds[v]) for v in values], keep=["session_id", "t", "id"])
+    return keyed(both, step, order, dict.fromkeys(values), [(v, kinds[v]) for v in values], keep=["session_id", "t", "id"], lateness=lateness)
 
 
-def stream_cap(frames: DataFrame, seconds: str, max_s: float | None, max_frames: int | None, order=("t", "frame_idx")) -> DataFrame:
+def stream_cap(frames: DataFrame, seconds: str, max_s: float | None, max_frames: int | None, order=("t", "frame_idx"), lateness: Lateness | None = None) -> DataFrame:
     """Rows of a session until its accumulated duration or frame count reaches a cap."""
 
     def step(memory, rows):
@@ -199,10 +218,10 @@ def stream_cap(frames: DataFrame, seconds: str, max_s: float | None, max_frames:
             memory["taken"] += 1
         return memory, rows.iloc[kept]
 
-    return keyed(frames, step, order, {"used": 0, "taken": 0}, [])
+    return keyed(frames, step, order, {"used": 0, "taken": 0}, [], lateness=lateness)
 
 
-def stream_faces(detections: DataFrame, cfg: Config) -> DataFrame:
+def stream_faces(detections: DataFrame, cfg: Config, lateness: Lateness | None = None) -> DataFrame:
     """Track faces and measure their motion.
 
     ``detections``: session_id, frame_idx, t, det_idx, cx, cy, mouth and ``points``
@@ -242,7 +261,7 @@ def stream_faces(detections: DataFrame, cfg: Config) -> DataFrame:
         return memory, rows.assign(**out)
 
     added = [("face_id", T.LongType()), ("hits", T.LongType()), ("n_faces", T.LongType()), *[(n, T.DoubleType()) for n in names]]
-    return keyed(detections, step, ("t", "frame_idx", "det_idx"), {"track": [0.0], "faces": {}}, added)
+    return keyed(detections, step, ("t", "frame_idx", "det_idx"), {"track": [0.0], "faces": {}}, added, lateness=lateness)
 
 
 def stream_frames(faces: DataFrame, cfg: Config, smooth: str | None = None, order=("t", "frame_idx", "det_idx")) -> DataFrame:

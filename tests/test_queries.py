@@ -12,7 +12,9 @@ if not os.path.isdir(FOLDER):
 import __spark_entry__ as entry  # noqa: E402
 from tools import compare  # noqa: E402
 
-SAMPLE = ("speech_report", "frame_gaps", "mouth_window", "monotonic_ms", "sequence_windows", "align_audio", "build_registry", "apply_events", "audit_vaults", "split_by_frame", "animation_loss", "rejection_reason")
+SAMPLE = ("speech_report", "frame_gaps", "mouth_window", "monotonic_ms", "sequence_windows", "align_audio", "build_registry", "apply_events", "audit_vaults", "split_by_frame", "animation_loss", "rejection_reason",
+          "session_inventory", "quality_state", "ema", "adaptive_peak", "attack_release", "watch_again", "exact_quantiles", "median_vector", "sequence_windows_sql",
+          "stream_gaps_unordered", "stream_late_rows", "stream_queue")
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("KINETABLE_ALL_QUERIES") else SAMPLE
 
 
