@@ -22,18 +22,16 @@ from kinetable.operators.vectors import median_vector
 
 def canonical_template() -> np.ndarray:
     """The reference face: known points, completed and made symmetric; the rest at the origin."""
-    face = np.zeros((anatomy.LANDMARKS, 3))
-    for point, xyz in anatomy.TEMPLATE_POINTS.items():
-        face[point] = xyz
-    for left, right in anatomy.MIRROR_PAIRS:
-        a, b = face[left], face[right]
-        if a.any() != b.any():
-            known, missing = (a, right) if a.any() else (b, left)
-            face[missing] = known * (-1.0, 1.0, 1.0)
-        else:
-            x = (abs(a[0]) + abs(b[0])) / 2
-            y, z = (a[1:] + b[1:]) / 2
-            face[left], face[right] = (-x, y, z), (x, y, z)
+    face, twin = np.zeros((anatomy.LANDMARKS, 3)), np.arange(anatomy.LANDMARKS)
+    face[list(anatomy.TEMPLATE_POINTS)] = list(anatomy.TEMPLATE_POINTS.values())
+    pairs = np.array(anatomy.MIRROR_PAIRS)
+    twin[pairs] = pairs[:, ::-1]
+    known, mirrored = face.any(axis=1), face[twin] * (-1.0, 1.0, 1.0)
+    # A point and its twin's mirror image count alike; where one is unknown, the other stands for both.
+    weights = np.stack([known, known[twin]]).astype(float)
+    weights[1, twin == np.arange(anatomy.LANDMARKS)] = 0.0
+    total = np.maximum(weights.sum(axis=0), 1.0)[:, None]
+    face = (face * weights[0][:, None] + mirrored * weights[1][:, None]) / total
     face[list(anatomy.MIDLINE), 0] = 0.0
     return face
 

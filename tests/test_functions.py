@@ -185,6 +185,19 @@ def test_augment_repeats_itself(spark):
     assert a["rows"].map(lambda r: [list(v) for v in r]).tolist() != other["rows"].map(lambda r: [list(v) for v in r]).tolist()
 
 
+def test_augment_draws_what_it_should():
+    x, ids = np.full((1000, 16, 24), 0.5), np.arange(1000, dtype=np.uint64)
+    out = evaluation.perturbed(x, ids, 42, 1)
+    assert (evaluation.perturbed(x[5:7], ids[5:7], 42, 1) == out[5:7]).all()  # whatever else is in the batch
+    gain = np.median(out, axis=(1, 2)) / 0.5
+    assert 0.84 < gain.min() < 0.87 and 1.13 < gain.max() < 1.16
+    bands, frames = (out == 0).all(axis=1).sum(axis=1), (out == 0).all(axis=2).sum(axis=1)
+    assert set(bands) == {0, 1, 2, 3} and set(frames) == {0, 2}
+    assert abs((bands > 0).mean() - 0.4) < 0.05 and abs((frames > 0).mean() - 0.3) < 0.05
+    spread = np.array([a[a != 0].std() for a in out])
+    assert abs((spread > 0.005).mean() - 0.5) < 0.05 and abs(spread[spread > 0.005].mean() - 0.02) < 0.001
+
+
 def test_loss_of_a_perfect_prediction_is_zero(spark):
     rows = [(1, t, [0.1] * 52, [0.2] * 4, [1.0] * 3) for t in range(5)]
     data = spark.createDataFrame(rows, "seq_id int, t int, pred_bs array<double>, pred_dental array<double>, pred_pose array<double>")
