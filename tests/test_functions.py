@@ -190,7 +190,7 @@ def test_augment_draws_what_it_should():
     out = evaluation.perturbed(x, ids, 42, 1)
     assert (evaluation.perturbed(x[5:7], ids[5:7], 42, 1) == out[5:7]).all()  # whatever else is in the batch
     gain = np.median(out, axis=(1, 2)) / 0.5
-    assert 0.84 < gain.min() < 0.87 and 1.13 < gain.max() < 1.16
+    assert 0.83 < gain.min() < 0.87 and 1.13 < gain.max() < 1.17
     bands, frames = (out == 0).all(axis=1).sum(axis=1), (out == 0).all(axis=2).sum(axis=1)
     assert set(bands) == {0, 1, 2, 3} and set(frames) == {0, 2}
     assert abs((bands > 0).mean() - 0.4) < 0.05 and abs((frames > 0).mean() - 0.3) < 0.05
