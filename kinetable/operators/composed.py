@@ -176,9 +176,13 @@ class Composition:
     run: Callable[[list[float], pd.DataFrame], dict]
 
 
-def _in_order(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    # The shuffle comes last: nothing after it may split a group over tasks.
-    return rows.repartition(*by).sortWithinPartitions(*by, *order)
+def in_order(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows sorted by group, every group in one task.
+
+    The shuffle goes by a hash of its own.  One by the columns themselves is left out as redundant if
+    a join by them came before, and that join, once broadcast, may split a group over tasks.
+    """
+    return rows.repartition(F.xxhash64(*by)).sortWithinPartitions(*by, *order)
 
 
 def _in_batches(rows: Iterator[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
@@ -233,9 +237,9 @@ def entries(table: DataFrame, line: Timeline, start: Sequence[float], compose: C
         rows = _walk(batches, by, begin, lambda state, f: apply(f, state))
         yield from _in_batches(((*[row[n] for n in names], before) for row, before, _, _ in rows), [*names, "entry"])
 
-    tops = _in_order(table, upper, [SLICE]).mapInPandas(composed, schema(upper, "f"))
-    tops = _in_order(tops, list(line.key), [SUPER]).mapInPandas(lambda b: entered(b, list(line.key), upper, lambda _: first), schema(upper, "entry"))
-    return _in_order(table.join(tops, upper), upper, [SLICE]).mapInPandas(
+    tops = in_order(table, upper, [SLICE]).mapInPandas(composed, schema(upper, "f"))
+    tops = in_order(tops, list(line.key), [SUPER]).mapInPandas(lambda b: entered(b, list(line.key), upper, lambda _: first), schema(upper, "entry"))
+    return in_order(table.join(tops, upper), upper, [SLICE]).mapInPandas(
         lambda b: entered(b, upper, group, lambda row: list(row["entry"])), schema(group, "entry"))
 
 
@@ -252,7 +256,7 @@ def composed_fold(df: DataFrame, line: Timeline, how: Composition) -> DataFrame:
         yield from _in_batches(rows, [*group, "f"])
 
     summary = T.StructType([*[T.StructField(c, kinds[c]) for c in group], T.StructField("f", STATE)])
-    table = staged(_in_order(data, group, list(line.order)).mapInPandas(summaries, summary))
+    table = staged(in_order(data, group, list(line.order)).mapInPandas(summaries, summary))
     states = entries(table, line, how.start, how.compose, how.apply)
     row_schema = T.StructType(list(df.schema) + [T.StructField(n, t) for n, t in how.outputs])
 
@@ -267,4 +271,4 @@ def composed_fold(df: DataFrame, line: Timeline, how: Composition) -> DataFrame:
         if done:
             yield pd.concat(done)
 
-    return _in_order(data.join(states, group), group, list(line.order)).mapInPandas(outputs, row_schema)
+    return in_order(data.join(states, group), group, list(line.order)).mapInPandas(outputs, row_schema)

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from kinetable.config import Config
 from kinetable.operators import steps
-from kinetable.operators.composed import BATCH, STATE, Composition, Contraction, Hysteresis, composed_fold, entries, whole_slices
+from kinetable.operators.composed import BATCH, STATE, Composition, Contraction, Hysteresis, composed_fold, entries, in_order, whole_slices
 from kinetable.operators.ordered import SLICE, Timeline
 from kinetable.operators.windows import timeline
 from kinetable.session import cut, staged
@@ -86,12 +86,8 @@ def keyed_fold(df: DataFrame, line: Timeline, recursion: Recursion, with_slices:
         if done:
             yield pd.concat(done)
 
-    def in_order(rows: DataFrame) -> DataFrame:
-        # The shuffle comes last: nothing after it may split a slice over tasks.
-        return rows.repartition(*group).sortWithinPartitions(*group, *line.order)
-
     def run_states(states: DataFrame) -> DataFrame:
-        return in_order(data.join(states.select(*group, "entry"), group)).mapInPandas(exits_of, exit_schema)
+        return in_order(data.join(states.select(*group, "entry"), group), group, line.order).mapInPandas(exits_of, exit_schema)
 
     empty_state = F.array(*[F.lit(float(s)) for s in start]).cast(STATE)
     over = Window.partitionBy(*line.key).orderBy(SLICE)
@@ -100,7 +96,7 @@ def keyed_fold(df: DataFrame, line: Timeline, recursion: Recursion, with_slices:
     needed = slices if with_slices else slices.filter(~F.col("_last"))
     todo = needed.withColumn("entry", empty_state)
     if todo.isEmpty():  # every key fits one slice
-        out = in_order(data).mapInPandas(rows_of, row_schema)
+        out = in_order(data, group, line.order).mapInPandas(rows_of, row_schema)
         return (out, todo.withColumn("extra", F.col("entry"))) if with_slices else out
     exits = cut(run_states(todo))
     while True:
@@ -117,7 +113,7 @@ def keyed_fold(df: DataFrame, line: Timeline, recursion: Recursion, with_slices:
         .filter(~F.col("_first"))
         .select(*group, "entry")
     )
-    out = in_order(data.join(entries, group, "left")).mapInPandas(rows_of, row_schema)
+    out = in_order(data.join(entries, group, "left"), group, line.order).mapInPandas(rows_of, row_schema)
     return (out, exits) if with_slices else out
 
 
