@@ -130,3 +130,13 @@ def test_status_adds_up_over_batches(spark, tmp_path):
     got = {r.session_id: r for r in feeds.status_table(spark, str(tmp_path / "out")).collect()}
     assert (got["s"].session_frames, got["s"].speech_seconds, got["s"].pause_seconds, got["s"].conversational_state) == (6, 2.0, 1.0, "CONVERSATIONAL_PAUSE")
     assert got["u"].session_frames == 1 and got["s"].fps == 2.0
+
+
+def test_a_table_in_many_files_streams_like_one_file(spark, tmp_path):
+    rows = spark.createDataFrame(pd.DataFrame({"session_id": "s", "t": np.arange(20) * 1.0, "frame_idx": np.arange(20), "dt": 0.5}))
+    rows.repartition(5).write.parquet(str(tmp_path / "many" / "seen.parquet"))
+    (tmp_path / "one").mkdir()
+    rows.toPandas().to_parquet(tmp_path / "one" / "seen.parquet")
+    rows.limit(3).write.parquet(str(tmp_path / "many" / "unseen.parquet"))
+    kept = [sorted(r.frame_idx for r in live.to_table(live.stream_cap(live.table_stream(spark, str(tmp_path / d), "seen"), "dt", None, 7)).collect()) for d in ("many", "one")]
+    assert kept == [list(range(7))] * 2
