@@ -281,9 +281,12 @@ def sync_queue(queue: DataFrame, urls: DataFrame, registry: DataFrame, order: st
         queue.select("key"), "key", "left_anti"
     )
     found = lookup_registry(fresh, registry, "raw_url", order)
-    entry = registry.select(
-        F.col("key").alias("registry_key"), F.col("title").alias("_title"), F.col("last_session").alias("_session"),
-        F.col("total_frames").alias("_frames"), F.col("total_duration_seconds").alias("_seconds"),
+    # A key may stand in the registry more than once: its first entry counts.
+    entry = registry.groupBy(F.col("key").alias("registry_key")).agg(
+        F.min(F.struct(order, "title", "last_session", "total_frames", "total_duration_seconds")).alias("_e")
+    ).select(
+        "registry_key", F.col("_e.title").alias("_title"), F.col("_e.last_session").alias("_session"),
+        F.col("_e.total_frames").alias("_frames"), F.col("_e.total_duration_seconds").alias("_seconds"),
     )
     hit = F.col("registry_key").isNotNull()
     added = found.join(entry, "registry_key", "left").select(

@@ -137,3 +137,11 @@ def test_round_robin_parts_are_disjoint(spark):
     parts = windows.round_robin(data, 7, Timeline((), ("pos",), 4))
     lists = [parts.filter(F.col("part") == i).select("pos") for i in range(7)]
     assert listing.overlap(lists, "pos").count() == 0 and sum(p.count() for p in lists) == 50
+
+
+def test_a_registry_key_stored_twice_gives_one_queue_row(spark):
+    rows = [(4, "kept_vid_01", "Late"), (2, "kept_vid_01", "Early")]
+    twice = spark.createDataFrame([(p, k, text.CANONICAL + k, f"https://youtu.be/{k}", title, f"s{p}", p, 1.0) for p, k, title in rows], REGISTRY)
+    empty = spark.createDataFrame([], "key string, pos long")
+    out = catalog.sync_queue(empty, spark.createDataFrame([(0, "kept_vid_01")], "pos long, url string"), twice).collect()
+    assert [(r.key, r.status, r.title, r.frame_count) for r in out] == [("kept_vid_01", "already_recorded", "Early", 2)]
