@@ -55,13 +55,15 @@ def frame_rms(df: DataFrame, hop: int, key: str = "session_id", samples: str = "
 
 
 def slice_audio(frames: DataFrame, clips: DataFrame, rate: int = 16000, fps: float = 30.0, key: str = "session_id",
-                t: str = "t", block: int = 160_000) -> DataFrame:
+                t: str = "t", block: int | None = None) -> DataFrame:
     """Samples of each frame, zeros where the recording has none: ``rate/fps`` samples from ``int(t * rate)``.
 
-    ``clips`` holds one recording as rows of (key, offset, samples); a frame meets
-    only the blocks its samples lie in, through an equi-join on the block number.
+    ``clips`` holds one recording as rows of (key, offset, samples).  They are cut into blocks (by default
+    as long as a frame's samples), and a frame meets only the blocks its samples lie in, through an
+    equi-join on the block number: what is joined grows with the frames' samples, however long pieces are.
     """
     length = int(rate * (1.0 / max(1.0, fps)))
+    block = block or max(1, length)
     start = (F.col(t) * rate).cast("long")
     # Equal frames share one window, which is joined back to each of them.
     placed = frames.withColumn("_from", start)
@@ -70,9 +72,15 @@ def slice_audio(frames: DataFrame, clips: DataFrame, rate: int = 16000, fps: flo
     )
     first = F.floor(F.col("offset") / block)
     last = F.floor((F.col("offset") + F.size("samples") - 1) / block)
-    pieces = clips.filter(F.size("samples") > 0).select(
-        key, "offset", "samples", F.explode(F.sequence(first, last)).alias("_block")
-    )
+
+    def within(number: Column) -> Column:
+        start = F.greatest(F.col("offset"), number * block)
+        n = F.least(F.col("offset") + F.size("samples"), (number + 1) * block) - start
+        inner = F.slice("samples", (start - F.col("offset") + 1).cast("int"), n.cast("int"))
+        return F.struct(number.alias("_block"), F.col("offset").alias("_begun"), start.alias("offset"), inner.alias("samples"))
+
+    parts = F.explode(F.transform(F.sequence(first, last), within)).alias("_part")
+    pieces = clips.filter(F.size("samples") > 0).select(key, parts).select(key, "_part.*")
     low = F.greatest(F.col("_from"), F.col("offset"), F.col("_block") * block)
     high = F.least(F.col("_from") + length, F.col("offset") + F.size("samples"), (F.col("_block") + 1) * block)
     met = wanted.join(pieces, [key, "_block"], "left").withColumn("_low", low).withColumn("_n", (high - low).cast("int"))
@@ -80,6 +88,7 @@ def slice_audio(frames: DataFrame, clips: DataFrame, rate: int = 16000, fps: flo
         F.col("offset").isNotNull() & (F.col("_n") > 0),
         F.struct(
             F.col("_low").alias("at"),
+            F.col("_begun").alias("begun"),
             F.slice("samples", (F.col("_low") - F.col("offset") + 1).cast("int"), F.col("_n")).alias("s"),
         ),
     )
@@ -155,17 +164,15 @@ def log_mel_sequence(frames: DataFrame, clips: DataFrame, rate: int = 16000, key
     """Log-mel bands around ``round(t * rate)`` of a peak-normalized recording.
 
     ``clips`` holds the recording in pieces (key, offset, samples); the peak is an
-    aggregate over the pieces, the window of a frame comes from :func:`slice_audio`.
+    aggregate over the pieces, which are scaled before windows repeat their samples; the
+    window of a frame comes from :func:`slice_audio`, in the single precision the bands are made from.
     """
     peak = clips.groupBy(key).agg(F.max(F.array_max(F.transform("samples", lambda x: F.abs(x)))).alias("_peak"))
     centre = F.bround(F.col(t) * rate).cast("long")
     # A window starts half its length early; a shifted clock keeps starts non-negative.
     at = (centre - FFT // 2 + FFT) / F.lit(float(rate))
-    shifted = clips.withColumn("offset", F.col("offset") + FFT)
-    windows = slice_audio(frames.withColumn("_at", at + 1e-9), shifted, rate, rate / FFT, key, "_at")
+    scaled = F.when(F.col("_peak") > 1e-4, F.transform("samples", lambda x: x / F.col("_peak"))).otherwise(F.col("samples"))
+    shifted = clips.join(peak, key).select(key, (F.col("offset") + FFT).alias("offset"), scaled.cast("array<float>").alias("samples"))
     # Sessions without a recording keep their frames, with silence.
-    scaled = windows.join(peak, key, "left").withColumn(
-        "samples",
-        F.when(F.col("_peak") > 1e-4, F.transform("samples", lambda x: x / F.col("_peak"))).otherwise(F.col("samples")),
-    )
-    return log_mel(scaled.drop("_peak", "_at"), rate=rate).drop("samples")
+    windows = slice_audio(frames.withColumn("_at", at + 1e-9), shifted, rate, rate / FFT, key, "_at")
+    return log_mel(windows.drop("_at"), rate=rate).drop("samples")

@@ -260,3 +260,11 @@ def test_frame_rms_of_pieces_equals_that_of_the_whole(spark):
     a, b = ({r.frame: r.rms for r in features.frame_rms(d, 10).collect()} for d in (whole, pieces))
     assert set(a) == set(b) == set(range(10)) and max(a.values()) == 1.0
     assert all(a[i] == pytest.approx(b[i], rel=1e-12) for i in a)
+
+
+def test_pieces_that_overlap_give_the_same_samples_for_any_block(spark):
+    clips = spark.createDataFrame([("s", 0, [9.0] * 10), ("s", 5, [2.0] * 10)], "session_id string, offset long, samples array<double>")
+    frames = spark.createDataFrame([("s", 1, 0.0)], "session_id string, frame_idx long, t double")
+    for block in ({}, {"block": 4}, {"block": 100}):
+        got = features.slice_audio(frames, clips, rate=16, fps=1.0, **block).first()
+        assert list(got.samples) == [9.0] * 10 + [2.0] * 5 + [0.0]
