@@ -56,14 +56,14 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         *keys, "_q", "_min", "_max", F.col("_b.lo").alias("_lo"), F.col("_b.hi").alias("_hi"),
         rank.alias("_rank"), F.floor(rank).alias("_r0"), F.ceil(rank).alias("_r1"),
     )
-    brackets = wanted.select(*keys, "_q", "_lo", "_hi")
+    # The counts keep the bracket they belong to: made a second time, a sketch may give another one.
     checked = (
-        data.join(brackets, keys)
-        .groupBy(*keys, "_q")
+        data.join(wanted, keys)
+        .groupBy(*keys, "_q", "_rank", "_r0", "_r1", "_min", "_max", "_lo", "_hi")
         .agg(F.count_if(F.col("_x") < F.col("_lo")).alias("_below"), F.count_if(F.col("_x") <= F.col("_hi")).alias("_upto"))
     )
     hit = (F.col("_r0") >= F.col("_below")) & (F.col("_r1") < F.col("_upto"))
-    bounds = wanted.join(checked, [*keys, "_q"]).select(
+    bounds = checked.select(
         *keys, "_q", "_rank", "_r0", "_r1",
         F.when(hit, F.col("_lo")).otherwise(F.col("_min")).alias("_lo"),
         F.when(hit, F.col("_hi")).otherwise(F.col("_max")).alias("_hi"),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinetable.config import Config
-from kinetable.operators import joins, listing, windows
+from kinetable.operators import joins, listing, quantiles, windows
 from kinetable.operators.ordered import Timeline, positions, row_index, scan
 from kinetable.operators.quantiles import exact_quantiles
 from kinetable.operators.vectors import median_vector, wide_vector_stats
@@ -169,3 +169,12 @@ def test_watch_sessions_and_pre_roll(spark):
     first = out.first()
     assert first.start == pytest.approx(19 / 30.0) and first.stop == pytest.approx(59 / 30.0 + 1.8, abs=1 / 30.0)
     assert windows.pre_roll(data, out, CFG, line(0.5)).count() == 20
+
+
+def test_counts_and_brackets_come_from_one_sketch(spark, monkeypatch):
+    plans, staged = [], quantiles.staged
+    monkeypatch.setattr(quantiles, "staged", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or staged(df))
+    out = exact_quantiles(spark.createDataFrame(frames()), ["session_id"], "x", [0.5]).toPandas()
+    want = frames().groupby("session_id")["x"].median()
+    assert out.set_index("session_id")["q0"].to_dict() == pytest.approx(want.to_dict())
+    assert plans[0].count("percentile_approx(") == 1
