@@ -6,8 +6,10 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinetable.anatomy import CHANNELS, channel_weights
 from kinetable.operators.ordered import SLICE, Timeline, home_rows, row_index, with_halo
@@ -172,25 +174,37 @@ def animation_loss(
     return out.withColumn("total_loss", sum(F.col(f"{n}_loss") * w for n, w in weights.items()))
 
 
+#: Sequences perturbed together.
+AT_ONCE = 64
+
+
 def augment(seqs: DataFrame, seed: int, epoch: int, vectors: str = "rows", key: str = "seq") -> DataFrame:
     """Perturb audio sequences: gain, noise, a masked band, masked frames.
 
     Random numbers come from (seed, epoch, sequence), so a retried task repeats them.
-    Apply to training sequences only.
+    Apply to training sequences only.  A task holds the random numbers and results of
+    ``AT_ONCE`` sequences, whatever the size of an Arrow batch.
     """
+    fields = [T.StructField(f.name, T.ArrayType(T.ArrayType(T.DoubleType()))) if f.name == vectors else f for f in seqs.schema]
+
+    return seqs.mapInArrow(lambda batches: perturbed_batches(batches, seed, epoch, vectors, key), T.StructType(fields))
 
-    @F.pandas_udf("array<array<double>>")
-    def perturb(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for ids, values in batches:
-            arrays = [np.array([np.asarray(r, float) for r in v]) for v in values]
-            out, numbers = [None] * len(arrays), ids.to_numpy(dtype=np.uint64)
+
+def perturbed_batches(batches: Iterator[pa.RecordBatch], seed: int, epoch: int, vectors: str, key: str) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into pieces of ``AT_ONCE`` sequences, perturbed."""
+    kind = pa.list_(pa.list_(pa.float64()))
+    for whole in batches:
+        for start in range(0, whole.num_rows, AT_ONCE):
+            batch = whole.slice(start, AT_ONCE)
+            numbers = batch.column(key).cast(pa.int64()).to_numpy(zero_copy_only=False).astype(np.uint64)
+            arrays = [np.array([np.asarray(r, float) for r in v]) for v in batch.column(vectors).to_pandas()]
+            out = [None] * len(arrays)
             for shape in {x.shape for x in arrays}:
                 at = [i for i, x in enumerate(arrays) if x.shape == shape]
                 for i, x in zip(at, perturbed(np.stack([arrays[i] for i in at]), numbers[at], seed, epoch)):
                     out[i] = list(x)
-            yield pd.Series(out)
-
-    return seqs.withColumn(vectors, perturb(F.col(key).cast("long"), F.col(vectors)))
+            columns = [pa.array(out, kind) if n == vectors else batch.column(n) for n in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
 
 def uniforms(ids: np.ndarray, seed: int, epoch: int, count: int) -> np.ndarray:

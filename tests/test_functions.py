@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,3 +269,11 @@ def test_pieces_that_overlap_give_the_same_samples_for_any_block(spark):
     for block in ({}, {"block": 4}, {"block": 100}):
         got = features.slice_audio(frames, clips, rate=16, fps=1.0, **block).first()
         assert list(got.samples) == [9.0] * 10 + [2.0] * 5 + [0.0]
+
+def test_augment_perturbs_few_sequences_at_once(monkeypatch):
+    sizes, whole = [], evaluation.perturbed
+    monkeypatch.setattr(evaluation, "perturbed", lambda x, *rest: sizes.append(len(x)) or whole(x, *rest))
+    x = np.random.default_rng(4).random((1000, 4, 8))
+    batch = pa.RecordBatch.from_pydict({"seq": list(range(1000)), "rows": x.tolist()})
+    out = [r for b in evaluation.perturbed_batches(iter([batch]), 42, 1, "rows", "seq") for r in b.column("rows").to_pylist()]
+    assert (np.array(out) == whole(x, np.arange(1000, dtype=np.uint64), 42, 1)).all() and max(sizes) <= 64
