@@ -174,3 +174,38 @@ def test_audio_of_later_batches_still_meets_its_frames(spark, tmp_path, lag):
     assert two == {i: x for i, (x, _) in want.items()}
     one = {r.id: r.x for r in live.to_table(joined).filter("session_id <> '~'").collect()}
     assert one == {i: x if gap is not None and gap <= 5 else None for i, (x, gap) in want.items()}
+
+
+def test_state_is_read_and_written_once_a_call():
+    calls, cells = [], {}
+
+    class Cell:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, call):
+            def run(*given):
+                calls.append((self.name, call))
+                if call == "exists":
+                    return self.name in cells
+                if call == "get":
+                    return cells.get(self.name)
+                cells[self.name] = {"update": lambda: given[0], "appendValue": lambda: [*(cells.get(self.name) or []), given[0]], "clear": lambda: None}[call]()
+            return run
+
+    class Handle:
+        getValueState = getListState = lambda self, name, kind: Cell(name)
+        registerTimer = deleteTimer = lambda self, millis: calls.append(("timer", millis))
+
+    class Clock:
+        def __init__(self, mark):
+            self.getCurrentWatermarkInMs = lambda: mark
+
+    rows = pd.DataFrame({"t": [3.0, 1.0, 2.0], event_time.MILLIS: [3000, 1000, 2000]})
+    one = event_time.OrderedSession(event_time.passed, ["t"], {}, list(rows.columns))
+    one.init(Handle())
+    assert list(one.handleInputRows("k", iter([rows.iloc[:2], rows.iloc[2:]]), Clock(0))) == []
+    assert [c for n, c in calls if n == "session"] == ["get", "update"]
+    calls.clear()
+    (out,) = one.handleExpiredTimer("k", Clock(2500), None)
+    assert out["t"].tolist() == [1.0, 2.0] and [c for n, c in calls if n == "session"] == ["get", "update"] and ("timer", 3000) in calls
