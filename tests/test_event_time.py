@@ -209,3 +209,16 @@ def test_state_is_read_and_written_once_a_call():
     calls.clear()
     (out,) = one.handleExpiredTimer("k", Clock(2500), None)
     assert out["t"].tolist() == [1.0, 2.0] and [c for n, c in calls if n == "session"] == ["get", "update"] and ("timer", 3000) in calls
+
+
+def test_a_stream_join_keeps_one_store_a_task(spark, tmp_path):
+    rows = pd.DataFrame({"session_id": "a", "t": np.arange(40) * 1.0, "id": np.arange(40), "x": 0.5, "sound": np.arange(40) % 2 == 0})
+    stream = files(spark, tmp_path / "in", [rows.iloc[:20], rows.iloc[20:]])
+    joined = event_time.latest_within(stream.filter("not sound"), stream.filter("sound"), ["x"], Lateness(TIME, "5 seconds"), "3 seconds")
+    settings = {name: spark.conf.get(name, None) for name in live.STATE}
+    with live.keyed_store(spark):
+        query = joined.writeStream.format("parquet").option("path", f"{tmp_path}/data").option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert settings == {name: spark.conf.get(name, None) for name in live.STATE}
+    stores = {op["operatorName"]: op["numStateStoreInstances"] for op in json.loads(query.recentProgress[-1].json)["stateOperators"]}
+    assert stores["symmetricHashJoin"] == stores["stateStoreSave"]
