@@ -140,3 +140,33 @@ def test_a_table_in_many_files_streams_like_one_file(spark, tmp_path):
     rows.limit(3).write.parquet(str(tmp_path / "many" / "unseen.parquet"))
     kept = [sorted(r.frame_idx for r in live.to_table(live.stream_cap(live.table_stream(spark, str(tmp_path / d), "seen"), "dt", None, 7)).collect()) for d in ("many", "one")]
     assert kept == [list(range(7))] * 2
+
+
+def step_of(monkeypatch, operator, *given, **named):
+    """The step function and the start state that an operator hands to ``keyed``."""
+    class Caught(Exception):
+        pass
+
+    def keyed(stream, step, order, start, added, **more):
+        raise Caught(step, start)
+
+    with monkeypatch.context() as patch, pytest.raises(Caught) as caught:
+        patch.setattr(live, "keyed", keyed)
+        operator(None, *given, **named)
+    return caught.value.args
+
+
+def test_faces_of_a_frame_that_comes_in_two_parts_keep_their_rows(monkeypatch):
+    step, start = step_of(monkeypatch, live.stream_faces, CFG)
+    rows = pd.DataFrame({"frame_idx": [1, 2, 1], "t": [0.0, 0.1, 0.2], "cx": [0.1, 0.1, 0.9], "cy": 0.5, "mouth": [0.1, 0.2, 0.9], "points": [[0.1, 0.5], [0.1, 0.5], [0.9, 0.5]]})
+    _, out = step(start, rows)
+    assert out["mouth_peak"].tolist() == [0.1, 0.2, 0.9] and out["n_faces"].tolist() == [2, 1, 2]
+    assert out["face_id"].tolist() == [0, 0, 1]
+
+
+def test_faces_are_not_cut_out_frame_by_frame(monkeypatch):
+    step, start = step_of(monkeypatch, live.stream_faces, CFG)
+    monkeypatch.setattr(pd.DataFrame, "groupby", lambda *_, **__: pytest.fail("a frame of its own for every frame"))
+    rows = faces(5)
+    _, out = step(start, rows[rows["session_id"] == "a"].reset_index(drop=True))
+    assert out["hits"].tolist() == [1, 2, 3, 4, 5]
