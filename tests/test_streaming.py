@@ -170,3 +170,15 @@ def test_faces_are_not_cut_out_frame_by_frame(monkeypatch):
     rows = faces(5)
     _, out = step(start, rows[rows["session_id"] == "a"].reset_index(drop=True))
     assert out["hits"].tolist() == [1, 2, 3, 4, 5]
+
+
+def test_rows_of_a_face_are_smoothed_in_one_go(monkeypatch):
+    step, start = step_of(monkeypatch, live.stream_frames, CFG, smooth="points")
+    calls, plain = [], live.steps.one_euro
+    monkeypatch.setattr(live.steps, "one_euro", lambda *given: calls.append(1) or plain(*given))
+    rows = pd.DataFrame({"face_id": [0, 1] * 10, "t": np.arange(20) / 30.0, "score": 90.0, "rejected": False, "articulating": True, "n_faces": 2})
+    rows["points"] = [np.array([i / 20.0, 0.5]) for i in range(20)]
+    memory, out = step(start, rows)
+    assert len(calls) == 2 and set(memory["faces"]) == {"0", "1"}
+    alone, _ = plain([], rows["t"].to_numpy()[::2], np.stack(rows["points"])[::2], CFG)
+    assert memory["faces"]["0"]["euro"] == alone and len(out["smooth_points"].iloc[19]) == 2
