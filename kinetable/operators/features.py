@@ -111,7 +111,12 @@ def slice_audio(frames: DataFrame, clips: DataFrame, rate: int = 16000, fps: flo
 
 
 def mel_filterbank(rate: int = 16000, bands: int = BANDS, fft: int = FFT, low: float = 60.0) -> np.ndarray:
-    """Triangular filters, equally spaced in mel between ``low`` and half the rate."""
+    """Triangular filters, equally spaced in mel between ``low`` and half the rate.
+
+    A rate that leaves nothing between them would make all bands silent; it is an error.
+    """
+    if low >= rate / 2.0:
+        raise ValueError(f"no band lies between {low} Hz and half of {rate} Hz")
 
     def mel(hz):
         return 2595.0 * np.log10(1.0 + hz / 700.0)

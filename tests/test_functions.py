@@ -1,6 +1,7 @@
 """Column functions on hand-made cases and against plain formulas."""
 
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -277,3 +278,27 @@ def test_augment_perturbs_few_sequences_at_once(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"seq": list(range(1000)), "rows": x.tolist()})
     out = [r for b in evaluation.perturbed_batches(iter([batch]), 42, 1, "rows", "seq") for r in b.column("rows").to_pylist()]
     assert (np.array(out) == whole(x, np.arange(1000, dtype=np.uint64), 42, 1)).all() and max(sizes) <= 64
+
+
+def test_a_rate_without_bands_is_an_error():
+    assert features.mel_filterbank(16000).any(axis=1).sum() > 50
+    for rate in (16, 120):
+        with pytest.raises(ValueError):
+            features.mel_filterbank(rate)
+
+
+def test_log_mel_sequence_query_hears_its_samples(spark):
+    import __spark_entry__ as entry
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    got = {r.frame_idx: r.spectral for r in entry.queries()["log_mel_sequence"](spark, folder).collect()}
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").toPandas().sort_values(["label", "vec_id"])
+    assert len(got) == len(rows)
+    for _, mine in list(rows.groupby("label"))[:2]:
+        x = np.concatenate(mine["embedding"].tolist()).astype(float)
+        padded = np.pad(x / np.abs(x).max(), (256, 5 * len(mine) + 512))
+        for i in (0, 1, 7, len(mine) // 2, len(mine) - 1):
+            want = plain_log_mel(padded[68 * i :][:512])
+            assert max(want) > 0
+            np.testing.assert_allclose(got[mine["vec_id"].iloc[i]], want, atol=1e-4)
