@@ -222,3 +222,51 @@ def test_a_stream_join_keeps_one_store_a_task(spark, tmp_path):
     assert settings == {name: spark.conf.get(name, None) for name in live.STATE}
     stores = {op["operatorName"]: op["numStateStoreInstances"] for op in json.loads(query.recentProgress[-1].json)["stateOperators"]}
     assert stores["symmetricHashJoin"] == stores["stateStoreSave"]
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_sessions_share_keys_of_state(spark, tmp_path, kind):
+    """Far fewer keys of state than sessions, and each session's rows as if it were alone, those without an id too."""
+    rng = np.random.default_rng(4)
+    n, ids = 1200, [None, *range(2**60 + 1, 2**60 + 300)]  # numbers that a float can't hold
+    data = pd.DataFrame({"session_id": pd.array([ids[k] for k in rng.integers(0, 300, n)], dtype="Int64"), "t": np.round(np.sort(rng.random(n)) * 90 + 1, 3), "frame_idx": np.arange(n)})
+    rows = spark.createDataFrame([(None if pd.isna(s) else int(s), float(t), int(i)) for s, t, i in data.itertuples(index=False)], "session_id long, t double, frame_idx long")
+    rows = rows.withColumn("session_id", F.col("session_id").cast(kind))
+    for k in range(4):
+        rows.filter((F.col("frame_idx") * 7919) % 4 == k).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    rows.limit(1).select(F.lit("7").cast(kind).alias("session_id"), F.lit(1e6).alias("t"), F.lit(-1).cast("long").alias("frame_idx")).write.parquet(f"{tmp_path}/in/9")
+    stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = live.stream_gaps(stream.withColumn("state", F.lit("ACTIVE_SPEECH")), CFG, lateness=Lateness(TIME, "10 minutes", shares=3))
+    held = progress(spark, out, tmp_path / "run")
+    assert 0 < max(held) <= 40  # three shares and the one without an id; some 300 sessions
+    got = spark.read.parquet(str(tmp_path / "run/data")).collect()
+    assert not any(r.is_late for r in got) and {(r.session_id, r.frame_idx) for r in got} == {(r.session_id, r.frame_idx) for r in rows.collect()}
+    seen = {}
+    for r in sorted(got, key=lambda r: (r.t, r.frame_idx)):
+        last, total = seen.get(r.session_id, (None, 0.0))
+        assert (r.dt is None) == (last is None) and (last is None or r.dt == max(r.t - last, 1e-4))
+        total += r.dt or 0.0
+        assert r.speech_seconds == pytest.approx(total)
+        seen[r.session_id] = (r.t, total)
+
+
+@pytest.mark.parametrize("name", ["gaps"])
+def test_a_step_takes_many_sessions_like_one(spark, monkeypatch, name):
+    data = pd.concat([session(k).assign(session_id=f"s{k}") for k in range(4)], ignore_index=True)
+    data = data.assign(state=np.where(data["usable"], "ACTIVE_SPEECH", None), kind=data["usable"].astype(int), id=data["frame_idx"], level=0.25, x=np.where(data["frame_idx"] % 3 == 0, None, data["t"]).astype(float))
+    rows, caught = spark.createDataFrame(data), []
+    monkeypatch.setattr(live, "keyed", lambda stream, step, order, start, *more, **named: caught.extend((step, json.dumps(start))))
+    {"gaps": lambda: live.stream_gaps(rows, CFG), "watch": lambda: live.stream_watch(rows, CFG, rearm=True),
+     "carry": lambda: live.stream_carry(rows, rows, ["x"]), "cap": lambda: live.stream_cap(rows, "level", 4.0, 9)}[name]()
+    step, start = caught
+    together, alone, states, one = [], [], [json.loads(start) for _ in range(4)], [json.loads(start) for _ in range(4)]
+    for part in (data[data["t"] < 50].reset_index(drop=True), data[data["t"] >= 50].reset_index(drop=True)):
+        edges = [*np.flatnonzero(part["session_id"] != part["session_id"].shift()).tolist(), len(part)]
+        states, out = step.many(states, part, edges)
+        together.append(out)
+        for k, (i, j) in enumerate(zip(edges, edges[1:])):
+            one[k], out = step(one[k], part.iloc[i:j].reset_index(drop=True))
+            alone.append(out)
+    assert json.dumps(states) == json.dumps(one) and sum(map(len, together)) > 4
+    plain = lambda parts: sorted(tuple(str(v) for v in r) for p in parts if len(p) for r in p.astype(object).itertuples(index=False))
+    assert plain(together) == plain(alone)
