@@ -250,7 +250,7 @@ def test_sessions_share_keys_of_state(spark, tmp_path, kind):
         seen[r.session_id] = (r.t, total)
 
 
-@pytest.mark.parametrize("name", ["gaps", "watch"])
+@pytest.mark.parametrize("name", ["gaps", "watch", "carry", "cap"])
 def test_a_step_takes_many_sessions_like_one(spark, monkeypatch, name):
     data = pd.concat([session(k).assign(session_id=f"s{k}") for k in range(4)], ignore_index=True)
     data = data.assign(state=np.where(data["usable"], "ACTIVE_SPEECH", None), kind=data["usable"].astype(int), id=data["frame_idx"], level=0.25, x=np.where(data["frame_idx"] % 3 == 0, None, data["t"]).astype(float))
