@@ -250,6 +250,17 @@ def test_sessions_share_keys_of_state(spark, tmp_path, kind):
         seen[r.session_id] = (r.t, total)
 
 
+def test_late_rows_of_shared_keys_are_counted_by_session(spark, tmp_path):
+    early = pd.DataFrame({"session_id": [f"s{k % 50}" for k in range(400)], "t": np.arange(400) * 0.5 + 1, "frame_idx": np.arange(400)})
+    stray = early.iloc[[7, 57, 8]].assign(frame_idx=[1000, 1001, 1002])
+    stream = files(spark, tmp_path / "in", [early.iloc[:200], early.iloc[200:], stray])
+    rows = event_time.in_order(stream, event_time.passed, ["t", "frame_idx"], {}, [], Lateness(TIME, "3 seconds", shares=2))
+    held = progress(spark, rows, tmp_path / "run")
+    assert max(held) <= 20  # 50 sessions
+    counts = {r.session_id: (r.on_time, r.late) for r in event_time.late_counts(spark.read.parquet(str(tmp_path / "run/data"))).collect()}
+    assert {s: late for s, (_, late) in counts.items() if late} == {"s7": 2, "s8": 1} and sum(n for n, _ in counts.values()) == 400
+
+
 @pytest.mark.parametrize("name", ["gaps", "watch", "carry", "cap"])
 def test_a_step_takes_many_sessions_like_one(spark, monkeypatch, name):
     data = pd.concat([session(k).assign(session_id=f"s{k}") for k in range(4)], ignore_index=True)
